@@ -9,15 +9,18 @@ one packed string (a super-k-mer), so the strings that could be equal meet in on
 2. `_pack`: packed strings with the other minimisers go to buckets. Strings that repeat within an Arrow batch are
    settled there and travel once, so that a passage in a third of all documents costs one string a batch. Minimisers
    that come from very many batches are dealt by the hash of each whole window instead, so no bucket holds them all.
-3. `resolve` (given by the operator) sorts the windows of a bucket and says which of them are to be removed.
+3. A string that is alone with its minimiser is settled by its own occurrences. `resolve` (given by the operator) sorts
+   the windows of the others in a bucket and says which of them are to be removed.
 4. The windows found are brought back to their documents.
 
 The 40-bit hashes only choose what travels; windows are compared in full, so a collision costs time and no result.
-Documents meet their windows again by the shuffle key `rid32`, whose exchange of the texts both joins share.
+Documents meet their windows again by the shuffle key `rid32`, 31 bits of a hash; the joins share one exchange of the
+texts. Rows that repeat a doc_id with another text are told apart by it.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -36,7 +39,8 @@ BUCKET_BYTES = 6 << 20
 #: Batches that a minimiser may come from before its windows are dealt one by one.
 HOT_BATCHES = 20_000
 _HOT = np.uint64(1 << 63)
-_FLAG_SCHEMA = "rid long, doc long, flags binary"
+_CLASSES = "array<struct<digest:string,least:bigint>>"
+_PACK_SCHEMA = "bucket int, token int, packed binary, doc long, rid32 int, start long, many boolean, flags binary"
 
 
 class Words:
@@ -229,16 +233,18 @@ def _ranges(first: list, last: list) -> bytes:
 
 
 def _pack(kind: type, k: int, g: int, buckets: int, settle: Callable) -> Callable:
+    columns = [x.split()[0] for x in _PACK_SCHEMA.split(", ")]
+
     """Packed strings of the minimisers that occur again. settle says of the occurrences of one string in a batch which ones are found at once and which still travel."""
 
     def run(batches):
         for batch in batches:
-            rid = batch.column("rid").to_pylist()
+            rid = batch.column("rid32").to_pylist()
             ids = batch.column("doc").to_pylist()
             lists = batch.column("tokens").to_pylist()
-            units = kind([b"" if i is None else x for i, x in zip(ids, _texts(batch))])
+            units = kind(_texts(batch))
             strings: dict[bytes, list] = {}
-            routes: dict[bytes, int] = {}
+            routes: dict[bytes, tuple[int, int]] = {}
             wanted: dict[int, np.ndarray] = {}
             hot: dict[int, np.ndarray] = {}
             for doc, first, last, minimiser, window_hash in runs(units, k, g):
@@ -250,14 +256,16 @@ def _pack(kind: type, k: int, g: int, buckets: int, settle: Callable) -> Callabl
                         wanted[d] = np.unique(every & ~_HOT)
                     part = part[np.isin(token[part], wanted[d])]
                     dealt = np.isin(token[part], hot[d]) if len(hot[d]) else np.zeros(len(part), bool)
-                    spread = mix(token[part]) % np.uint64(buckets)
+                    spread = mix(token[part])
                     for i, s, e, to, single in zip(part.tolist(), first[part].tolist(), last[part].tolist(), spread.tolist(), dealt.tolist()):
                         hash_of = window_hash(i) if single else None
                         for a, b in ((w, w + 1) for w in range(s, e)) if single else ((s, e),):
                             key = units.packed(d, a, b + k - 1)
                             strings.setdefault(key, []).append((d, a, b))
-                            routes[key] = int(hash_of(a) % np.uint64(buckets)) if single else to
-            out = {c: [] for c in ("bucket", "packed", "doc", "rid", "start", "many", "flags")}
+                            if single:
+                                to = int(mix(hash_of(a)))
+                            routes[key] = to % buckets, to >> 33
+            out = {c: [] for c in columns}
 
             def put(*row, out=out):
                 for c, v in zip(out, row):
@@ -271,59 +279,114 @@ def _pack(kind: type, k: int, g: int, buckets: int, settle: Callable) -> Callabl
                     found[d][1].append(b)
                 many = len(where) > 1
                 for d, a, _ in later or where[:1]:
-                    put(routes[key], key, ids[d], rid[d], a if later else -1, many, None)
+                    put(*routes[key], key, ids[d], rid[d], a if later else -1, many, None)
             for d, (a, b) in found.items():
-                put(rid[d] % buckets, None, ids[d], rid[d], None, None, _ranges(a, b))
-            kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                put(rid[d] % buckets, None, None, ids[d], rid[d], None, None, _ranges(a, b))
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(out, kinds)], list(out))
 
     return run
 
 
-def _bucket(resolve: Callable) -> Callable:
-    """resolve gets the strings of one bucket as {string: [(doc, rid, start, many)]}, and returns {(rid, doc): (firsts, lasts)}."""
+def _bucket(whole: Callable, resolve: Callable) -> Callable:
+    """Of one bucket: the repeated windows of each document.
+
+    Equal windows have equal minimisers, so a string is settled by its own occurrences unless another string has its
+    minimiser. whole(string, occurrences) says how many windows a string has and in which occurrences all of them are to
+    be removed. resolve gets the other strings as {string: occurrences} and returns {(rid32, doc): (firsts, lasts)}. An
+    occurrence is (doc, rid32, start, many).
+    """
 
     def run(t: pa.Table) -> pa.Table:
         strings: dict[bytes, list] = {}
+        of: dict[int, set] = defaultdict(set)
         out = ([], [], [])
-        columns = (t.column(c).to_pylist() for c in ("packed", "doc", "rid", "start", "many", "flags"))
-        for packed, doc, rid, start, many, flags in zip(*columns):
+        columns = (t.column(c).to_pylist() for c in ("token", "packed", "doc", "rid32", "start", "many", "flags"))
+        for token, packed, doc, rid, start, many, flags in zip(*columns):
             if packed is None:
                 for o, v in zip(out, (rid, doc, flags)):
                     o.append(v)
             else:
                 strings.setdefault(packed, []).append((doc, rid, start, many))
-        for (rid, doc), (a, b) in resolve(strings).items() if strings else ():
+                of[token].add(packed)
+        found: dict = {}
+        for group in of.values():
+            if len(group) == 1:
+                where = strings.pop(packed := group.pop())
+                windows, gone = whole(packed, where)
+                for doc, rid, start, _ in gone:
+                    a, b = found.setdefault((rid, doc), ([], []))
+                    a.append(start)
+                    b.append(start + windows)
+        for key, (a, b) in resolve(strings).items() if strings else ():
+            x, y = found.setdefault(key, ([], []))
+            x += a
+            y += b
+        for (rid, doc), (a, b) in found.items():
             for o, v in zip(out, (rid, doc, _ranges(a, b))):
                 o.append(v)
-        return pa.table({"rid": pa.array(out[0], pa.int64()), "doc": pa.array(out[1], pa.int64()), "flags": pa.array(out[2], pa.binary())})
+        return pa.table({"rid32": pa.array(out[0], pa.int32()), "doc": pa.array(out[1], pa.int64()), "flags": pa.array(out[2], pa.binary())})
 
     return run
 
 
-def repeated_windows(docs: DataFrame, kind: type, k: int, g: int, settle: Callable, resolve: Callable, once_a_doc: bool, hot_batches: int = HOT_BATCHES) -> DataFrame:
-    """docs (doc_id, text) with `found`, a list of (rid, doc, flags) that holds the row's repeated windows; rid and doc tell
-    rows apart that share rid32. A row whose doc_id is null takes no part and finds nothing."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text"))
-    d = d.withColumn("rid", F.xxhash64("doc", "text")).withColumn("rid32", F.shiftrightunsigned("rid", 33).cast("int"))
-    d = d.select("rid32", "rid", "doc", "text")
+def is_copy(text: bytes, doc: int | None, classes: list | None) -> bool:
+    """Whether a row's text is that of a smaller doc_id, given the texts that occur more than once under its key."""
+    if not classes or doc is None:
+        return False
+    own = hashlib.sha1(text).hexdigest()
+    return any(x["digest"] == own and x["least"] < doc for x in classes)
+
+
+def _without_copies(batches):
+    """Rows with empty texts for those that take no part: copies of smaller documents, and rows without doc_id."""
+    for batch in batches:
+        texts, ids, classes = (batch.column(c).to_pylist() for c in ("text", "doc", "classes"))
+        texts = ["" if i is None or c and is_copy(x.encode(), i, c) else x for x, i, c in zip(texts, ids, classes)]
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.column("text").type))
+
+
+def repeated_windows(
+    docs: DataFrame, kind: type, k: int, g: int, settle: Callable, whole: Callable, resolve: Callable, first_stays: bool, hot_batches: int = HOT_BATCHES
+) -> DataFrame:
+    """docs (doc_id, text) as rid32, doc, text with `found`, a list of (doc, flags) of the windows to be removed, and `classes`.
+
+    first_stays: only what occurs in a smaller doc_id is removed. Then a text that a smaller doc_id has as well takes no
+    part, as all of it goes: `classes` says which texts, and is_copy tells. A row whose doc_id is null takes no part and
+    finds nothing.
+    """
+    d = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    key = F.xxhash64("text") if first_stays else F.xxhash64("doc", "text")
+    d = d.select(F.shiftrightunsigned(key, 33).cast("int").alias("rid32"), "doc", "text")
     _, volume = text_volume(docs)
     buckets = max(8, -(-volume // BUCKET_BYTES))
-    census = d.filter("doc IS NOT NULL").mapInArrow(_census(kind, k, g, buckets, once_a_doc), "bucket int, a binary, b binary")
+    scanned = d.withColumn("classes", F.lit(None).cast(_CLASSES))
+    if first_stays:
+        classes = d.filter("doc IS NOT NULL").groupBy("rid32", F.sha1("text").alias("digest")).agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"))
+        classes = classes.filter("n > 1").groupBy("rid32").agg(F.collect_list(F.struct("digest", "least")).alias("classes"))
+        d = d.join(classes, "rid32", "left")
+        scanned = d.mapInArrow(_without_copies, d.schema)
+    else:
+        d = scanned
+        scanned = d.filter("doc IS NOT NULL")
+    census = scanned.mapInArrow(_census(kind, k, g, buckets, first_stays), "bucket int, a binary, b binary")
     again = census.groupBy("bucket").applyInArrow(_repeated(hot_batches), "rid32 int, tokens binary")
     again = again.groupBy("rid32").agg(F.collect_list("tokens").alias("tokens"))
-    packs = d.join(again, "rid32").mapInArrow(
-        _pack(kind, k, g, buckets, settle), "bucket int, packed binary, doc long, rid long, start long, many boolean, flags binary"
-    )
-    flags = packs.groupBy("bucket").applyInArrow(_bucket(resolve), _FLAG_SCHEMA)
-    flags = flags.withColumn("rid32", F.shiftrightunsigned("rid", 33).cast("int"))
-    flags = flags.groupBy("rid32").agg(F.collect_list(F.struct("rid", "doc", "flags")).alias("found"))
+    packs = d.join(again, "rid32").mapInArrow(_pack_rows(kind, k, g, buckets, settle), _PACK_SCHEMA)
+    flags = packs.groupBy("bucket").applyInArrow(_bucket(whole, resolve), "rid32 int, doc long, flags binary")
+    flags = flags.groupBy("rid32").agg(F.collect_list(F.struct("doc", "flags")).alias("found"))
     return d.join(flags, "rid32", "left")
 
 
-def covered(found: list | None, rid: int, doc: int | None, k: int) -> np.ndarray:
+def _pack_rows(kind: type, k: int, g: int, buckets: int, settle: Callable) -> Callable:
+    pack = _pack(kind, k, g, buckets, settle)
+    return lambda batches: pack(_without_copies(batches))
+
+
+def covered(found: list | None, doc: int | None, k: int) -> np.ndarray:
     """Unit ranges (start, end) that a row's repeated windows cover, merged where they overlap or touch."""
-    mine = [np.frombuffer(x["flags"], np.int64).reshape(-1, 2) for x in found or () if x["rid"] == rid and x["doc"] == doc]
+    mine = [np.frombuffer(x["flags"], np.int64).reshape(-1, 2) for x in found or () if x["doc"] == doc]
     if not mine:
         return np.zeros((0, 2), np.int64)
     pairs = np.concatenate(mine)

@@ -19,6 +19,14 @@ def _settle(where: list, ids: list) -> tuple[list, list]:
     return (where, []) if len(where) > 1 else ([], where)
 
 
+def _whole(k: int):
+    def whole(string: bytes, where: list) -> tuple[int, list]:
+        times = sum(2 if many else 1 for *_, many in where)
+        return string.count(b" ") + 2 - k, [x for x in where if times > 1 and not x[3]]
+
+    return whole
+
+
 def _same_windows(text: bytes, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, hashes: np.ndarray, k: int) -> np.ndarray:
     """A label for each window start in `at`, equal where the words are; sorted by hash, then compared in full."""
     order = np.argsort(hashes, kind="stable")
@@ -68,11 +76,11 @@ def _keep(k: int):
     def run(batches):
         for batch in batches:
             kept, total, gone = [], [], []
-            for text, rid, doc, found in zip(*(batch.column(c).to_pylist() for c in ("text", "rid", "doc", "found"))):
+            for text, doc, found in zip(*(batch.column(c).to_pylist() for c in ("text", "doc", "found"))):
                 words = (text or "").encode().split()
                 total.append(len(words))
                 parts, at = [], 0
-                for a, b in covered(found, rid, doc, k).tolist():
+                for a, b in covered(found, doc, k).tolist():
                     parts += words[at:a]
                     at = b
                 parts += words[at:]
@@ -93,8 +101,8 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, minimiser: int
     keeps its words and is not compared. An empty table gives an empty table.
     """
     more = {} if hot_batches is None else {"hot_batches": hot_batches}
-    found = repeated_windows(docs, Words, window, min(minimiser, window), _settle, _resolver(window), once_a_doc=False, **more)
-    return found.select("text", "rid", "doc", "found").mapInArrow(_keep(window), "doc_id long, n_words long, n_removed long, text string")
+    found = repeated_windows(docs, Words, window, min(minimiser, window), _settle, _whole(window), _resolver(window), first_stays=False, **more)
+    return found.select("text", "doc", "found").mapInArrow(_keep(window), "doc_id long, n_words long, n_removed long, text string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

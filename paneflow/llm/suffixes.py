@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import Bytes, covered, repeated_windows
+from .repeats import Bytes, covered, is_copy, repeated_windows
 
 WINDOW = 50
 MINIMISER = 25
@@ -111,6 +111,14 @@ def _settle(where: list, ids: list) -> tuple[list, list]:
     return [x for x in where if ids[x[0]] > least], [x for x in where if ids[x[0]] == least]
 
 
+def _whole(k: int):
+    def whole(string: bytes, where: list) -> tuple[int, list]:
+        least = min(doc for doc, *_ in where)
+        return len(string) - k + 1, [x for x in where if x[0] > least]
+
+    return whole
+
+
 def _resolver(k: int):
     def resolve(strings: dict) -> dict:
         keys = list(strings)
@@ -149,9 +157,10 @@ def _keep(k: int):
     def run(batches):
         for batch in batches:
             out = ([], [], [], [])
-            for text, rid, doc, found in zip(*(batch.column(c).to_pylist() for c in ("text", "rid", "doc", "found"))):
+            for text, doc, found, classes in zip(*(batch.column(c).to_pylist() for c in ("text", "doc", "found", "classes"))):
                 text = (text or "").encode()
-                gone = covered(found, rid, doc, k).tolist()
+                copy = len(text) >= k and is_copy(text, doc, classes)
+                gone = [[0, len(text)]] if copy else covered(found, doc, k).tolist()
                 parts, at = [], 0
                 for a, b in gone:
                     parts.append(text[at:a])
@@ -174,8 +183,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, minimiser: int
     a null doc_id takes no part: it keeps its bytes and is not compared. An empty table gives an empty table.
     """
     more = {} if hot_batches is None else {"hot_batches": hot_batches}
-    found = repeated_windows(docs, Bytes, window, min(minimiser, window), _settle, _resolver(window), once_a_doc=True, **more)
-    return found.select("text", "rid", "doc", "found").mapInArrow(_keep(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    found = repeated_windows(docs, Bytes, window, min(minimiser, window), _settle, _whole(window), _resolver(window), first_stays=True, **more)
+    return found.select("text", "doc", "found", "classes").mapInArrow(_keep(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
