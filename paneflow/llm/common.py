@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -28,7 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paneflow-checkpoint-"))  # tests: one machine
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # shuffle files that nothing refers to any more are freed
+    return out
 
 
 def text_volume(docs: DataFrame) -> tuple[int, int]:

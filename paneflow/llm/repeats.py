@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from .common import BYTE_CODES, groups_of, mix, powers, text_volume, word_hashes
 
 _LOW = np.uint64((1 << 24) - 1)
 #: Units handled at once; bounds a worker's memory, also for very long texts.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Text bytes for each hash bucket.
 BUCKET_BYTES = 6 << 20
 #: Batches that a minimiser may come from before its windows are dealt one by one.
@@ -134,13 +135,21 @@ def _tokens(minimiser: np.ndarray, buckets: int) -> np.ndarray:
     return (minimiser * np.uint64(buckets) >> np.uint64(40) << np.uint64(32)) | (minimiser & np.uint64(0xFFFFFFFF))
 
 
+def _portions(batches, limit: int = 8 << 20):
+    """The rows in batches of about `limit` characters of text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
+        for a, b in groups_of(sizes, limit):
+            yield batch.slice(a, b - a)
+
+
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
 def _census(kind: type, k: int, g: int, buckets: int, once_a_doc: bool) -> Callable:
     def run(batches):
-        for batch in batches:
+        for batch in _portions(batches):
             units = kind(_texts(batch))
             rid32 = np.asarray(batch.column("rid32").to_numpy(zero_copy_only=False)).astype(np.int32)
             docs, tokens = [], []
@@ -238,7 +247,7 @@ def _pack(kind: type, k: int, g: int, buckets: int, settle: Callable) -> Callabl
     """Packed strings of the minimisers that occur again. settle says of the occurrences of one string in a batch which ones are found at once and which still travel."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _portions(batches):
             rid = batch.column("rid32").to_pylist()
             ids = batch.column("doc").to_pylist()
             lists = batch.column("tokens").to_pylist()
