@@ -149,7 +149,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 def _census(kind: type, k: int, g: int, buckets: int, once_a_doc: bool) -> Callable:
     def run(batches):
-        for batch in _portions(batches):
+        for batch in batches:
             units = kind(_texts(batch))
             rid32 = np.asarray(batch.column("rid32").to_numpy(zero_copy_only=False)).astype(np.int32)
             docs, tokens = [], []
@@ -247,7 +247,7 @@ def _pack(kind: type, k: int, g: int, buckets: int, settle: Callable) -> Callabl
     """Packed strings of the minimisers that occur again. settle says of the occurrences of one string in a batch which ones are found at once and which still travel."""
 
     def run(batches):
-        for batch in _portions(batches):
+        for batch in batches:
             rid = batch.column("rid32").to_pylist()
             ids = batch.column("doc").to_pylist()
             lists = batch.column("tokens").to_pylist()
@@ -349,7 +349,7 @@ def is_copy(text: bytes, doc: int | None, classes: list | None) -> bool:
 
 def _without_copies(batches):
     """Rows with empty texts for those that take no part: copies of smaller documents, and rows without doc_id."""
-    for batch in batches:
+    for batch in _portions(batches):
         texts, ids, classes = (batch.column(c).to_pylist() for c in ("text", "doc", "classes"))
         texts = ["" if i is None or c and is_copy(x.encode(), i, c) else x for x, i, c in zip(texts, ids, classes)]
         at = batch.schema.get_field_index("text")
@@ -370,27 +370,24 @@ def repeated_windows(
     d = d.select(F.shiftrightunsigned(key, 33).cast("int").alias("rid32"), "doc", "text")
     _, volume = text_volume(docs)
     buckets = max(8, -(-volume // BUCKET_BYTES))
-    scanned = d.withColumn("classes", F.lit(None).cast(_CLASSES))
     if first_stays:
         classes = d.filter("doc IS NOT NULL").groupBy("rid32", F.sha1("text").alias("digest")).agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"))
         classes = classes.filter("n > 1").groupBy("rid32").agg(F.collect_list(F.struct("digest", "least")).alias("classes"))
         d = d.join(classes, "rid32", "left")
-        scanned = d.mapInArrow(_without_copies, d.schema)
     else:
-        d = scanned
-        scanned = d.filter("doc IS NOT NULL")
-    census = scanned.mapInArrow(_census(kind, k, g, buckets, first_stays), "bucket int, a binary, b binary")
+        d = d.withColumn("classes", F.lit(None).cast(_CLASSES))
+    census = d.mapInArrow(_after(_without_copies, _census(kind, k, g, buckets, first_stays)), "bucket int, a binary, b binary")
     again = census.groupBy("bucket").applyInArrow(_repeated(hot_batches), "rid32 int, tokens binary")
     again = again.groupBy("rid32").agg(F.collect_list("tokens").alias("tokens"))
-    packs = d.join(again, "rid32").mapInArrow(_pack_rows(kind, k, g, buckets, settle), _PACK_SCHEMA)
+    packs = d.join(again, "rid32").mapInArrow(_after(_without_copies, _pack(kind, k, g, buckets, settle)), _PACK_SCHEMA)
     flags = packs.groupBy("bucket").applyInArrow(_bucket(whole, resolve), "rid32 int, doc long, flags binary")
     flags = flags.groupBy("rid32").agg(F.collect_list(F.struct("doc", "flags")).alias("found"))
     return d.join(flags, "rid32", "left")
 
 
-def _pack_rows(kind: type, k: int, g: int, buckets: int, settle: Callable) -> Callable:
-    pack = _pack(kind, k, g, buckets, settle)
-    return lambda batches: pack(_without_copies(batches))
+def _after(first: Callable, then: Callable) -> Callable:
+    """Both steps in one worker."""
+    return lambda batches: then(first(batches))
 
 
 def covered(found: list | None, doc: int | None, k: int) -> np.ndarray:
