@@ -44,18 +44,45 @@ def _core(word: str) -> str:
     return word[letters[0] : letters[-1] + 1].lower() if letters else ""
 
 
-def features(core: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashes of a word's prefixes and suffixes of 1 to 4 letters, its 2- and 3-grams, and the lexica that list it."""
-    if len(core) > LONGEST_WORD:
-        return []
-    marked = f"<{core}>"
-    names = [f"p{core[:n]}" for n in range(1, 5) if n <= len(core)] + [f"s{core[-n:]}" for n in range(1, 5) if n <= len(core)]
-    names += [f"2{marked[i : i + 2]}" for i in range(len(marked) - 1)] + [f"3{marked[i : i + 3]}" for i in range(len(marked) - 2)]
-    found = lexicon.get(core, 0)
-    names += [f"l{i}" for i in range(found.bit_length()) if found >> i & 1]
-    if found:
-        names.append(f"w{core}")
-    return [zlib.crc32(x.encode()) % FEATURES for x in names]
+_KIND = np.random.default_rng(11).integers(1, 2**63, 16, dtype=np.uint64)  # one fixed number for each kind of feature
+
+
+def _feature(kind: int, *letters: np.ndarray) -> np.ndarray:
+    h = np.full(len(letters[0]), _KIND[kind])
+    for x in letters:
+        h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(40)).astype(np.int64) % FEATURES
+
+
+def features(cores: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words, and for each feature the word that it is of.
+
+    A word has its prefixes and suffixes of 1 to 4 letters, its 2- and 3-grams with the word's ends, the lexica that list it,
+    and if one does, itself. Words over LONGEST_WORD have none.
+    """
+    letters = np.frombuffer(("\n" + "\n".join(cores) + "\n").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    end = letters == 10
+    at = np.flatnonzero(end)
+    starts, ends = at[:-1] + 1, at[1:]
+    size = ends - starts
+    word = np.repeat(np.arange(len(cores)), size + 1)
+    out, owner = [_feature(0, letters[:-1], letters[1:])], [word]
+    inside = np.flatnonzero(~end[1:-1])
+    out.append(_feature(1, letters[inside], letters[inside + 1], letters[inside + 2]))
+    owner.append(word[inside])
+    for n in range(1, 5):
+        some = np.flatnonzero(size >= n)
+        for kind, first in ((n + 1, starts[some]), (n + 5, ends[some] - n)):
+            out.append(_feature(kind, *(letters[first + i] for i in range(n))))
+            owner.append(some)
+    listed = [(i, found, zlib.crc32(x.encode("utf-8", "surrogatepass"))) for i, x in enumerate(cores) if (found := lexicon.get(x))]
+    if listed:
+        where, value = (np.array(x, np.uint64) for x in zip(*((i, v) for i, found, own in listed for v in (own, *(1 << 40 | n for n in range(found.bit_length()) if found >> n & 1)))))
+        out.append(_feature(10, value))
+        owner.append(where.astype(np.int64))
+    out, owner = np.concatenate(out), np.concatenate(owner)
+    short = size[owner] <= LONGEST_WORD
+    return out[short], owner[short]
 
 
 @dataclass
@@ -65,16 +92,12 @@ class Model:
     moves: np.ndarray  # from a language to the next word's
     lexicon: dict[str, int]  # word: the languages that list it, as bits
 
-    def emissions(self, words: list[list[int]]) -> np.ndarray:
-        """Scores of words, given by their features."""
-        lengths = np.array([len(x) for x in words])
-        flat = np.fromiter((i for x in words for i in x), np.int64, int(lengths.sum()))
-        out = np.zeros((len(words), len(self.languages)))
-        some = np.flatnonzero(lengths)
-        if len(some):
-            starts = np.concatenate(([0], np.cumsum(lengths[some])[:-1]))
-            out[some] = np.add.reduceat(self.weights[flat], starts, axis=0)
-        return out
+    def emissions(self, cores: list[str]) -> np.ndarray:
+        """Scores of words in each language."""
+        if not cores:
+            return np.zeros((0, len(self.languages)))
+        feature, word = features(cores, self.lexicon)
+        return np.stack([np.bincount(word, self.weights[feature, i], len(cores)) for i in range(len(self.languages))], 1)
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, joint: bool = False):
@@ -128,7 +151,10 @@ def fit(samples: list[tuple[str, str]], rounds: int = 8, seed: int = 5) -> Model
                 lexicon[w] = lexicon.get(w, 0) | 1 << label
     model = Model(languages, np.zeros((FEATURES, len(languages))), np.zeros((len(languages),) * 2), lexicon)
     rng = np.random.default_rng(seed)
-    known = {w: np.array(features(w, lexicon), np.int64) for _, words in texts for w in words}
+    place = {w: i for i, w in enumerate(sorted({w for _, words in texts for w in words}))}
+    feature, word = features(list(place), lexicon)
+    order = np.argsort(word, kind="stable")
+    feature, edges = feature[order], np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(place)))))
     square, square_moves = np.full(model.weights.shape, 1e-3), np.full(model.moves.shape, 1e-3)
     for _ in range(rounds if len(languages) > 1 else 0):
         order = rng.permutation(len(texts))
@@ -144,22 +170,22 @@ def fit(samples: list[tuple[str, str]], rounds: int = 8, seed: int = 5) -> Model
             lengths = np.array([len(x[0]) for x in chains])
             scores = np.zeros((lengths[0], len(chains), len(languages)))
             hot = np.zeros_like(scores)
-            rows = [known[w] for words, _ in chains for w in words]
+            rows = np.array([place[w] for words, _ in chains for w in words])
+            sizes = edges[rows + 1] - edges[rows]
+            word = np.repeat(np.arange(len(rows)), sizes)
+            flat = feature[np.repeat(edges[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(word))]
             chain = np.repeat(np.arange(len(chains)), lengths)
             time = np.concatenate([np.arange(n) for n in lengths])
             label = np.concatenate([x[1] for x in chains])
-            scores[time, chain] = model.emissions([x.tolist() for x in rows])
+            scores[time, chain] = np.stack([np.bincount(word, model.weights[flat, i], len(rows)) for i in range(len(languages))], 1)
             hot[time, chain, label] = 1
             marginals, expected = forward_backward(scores, lengths, model.moves, joint=True)
             inside = time > 0
             seen = np.zeros_like(model.moves)
             np.add.at(seen, (label[np.flatnonzero(inside) - 1], label[inside]), 1)
             error = (hot - marginals)[time, chain]
-            sizes = np.array([len(x) for x in rows])
-            flat, word = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-            used, place = np.unique(flat, return_inverse=True)
-            slope = np.zeros((len(used), len(languages)))
-            np.add.at(slope, place, error[word])
+            used, which = np.unique(flat, return_inverse=True)
+            slope = np.stack([np.bincount(which, error[word, i], len(used)) for i in range(len(languages))], 1)
             slope -= 0.01 * model.weights[used]
             square[used] += slope**2
             model.weights[used] += 0.1 * slope / np.sqrt(square[used])
@@ -190,64 +216,68 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
 
 class Labeller:
-    """Predicts languages of texts; keeps the features' scores of the words it has met."""
+    """Predicts languages of texts; keeps the scores of the words it has met."""
 
     def __init__(self, model: Model):
         self.model = model
         self.place: dict[str, int] = {}
-        self.scores = np.zeros((0, len(model.languages)), np.float32)
+        self.scores = np.zeros((CACHED, len(model.languages)), np.float32)
+        self.used = 0
 
     def _look_up(self, words: list[str]) -> np.ndarray:
-        """Row of self.scores of each word; -1 for words without a letter."""
-        new = list({*words} - self.place.keys())
+        """A row of the scores for each word, -1 for words without a letter."""
+        new = [w for w in {*words} if w not in self.place]
         if len(self.place) + len(new) > CACHED:
-            self.place, self.scores = {}, self.scores[:0]
+            self.place, self.used = {}, 0
             new = list({*words})
-        if new:
-            cores = [_core(w) for w in new]
-            some = [i for i, c in enumerate(cores) if c]
-            more = self.model.emissions([features(cores[i], self.model.lexicon) for i in some]).astype(np.float32)
-            at = dict(zip(some, range(len(self.scores), len(self.scores) + len(some))))
-            self.place.update((w, at.get(i, -1)) for i, w in enumerate(new))
-            self.scores = np.concatenate([self.scores, more])
+            if len(new) > len(self.scores):
+                self.scores = np.zeros((len(new), self.scores.shape[1]), np.float32)
+        cores = [_core(w) for w in new]
+        some = [c for c in cores if c]
+        if some:
+            self.scores[self.used : self.used + len(some)] = self.model.emissions(some)
+        for w, c in zip(new, cores):
+            self.place[w] = self.used if c else -1
+            self.used += bool(c)
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text."""
         languages = self.model.languages
         sums = np.zeros((len(texts), len(languages)))
-        rows, owner = [], []
+        words, counts, first = [], [], 0
         for i, text in enumerate(texts):
-            words = (text or "").split()
-            for at in range(0, len(words), 1 << 16):
-                row = self._look_up(words[at : at + (1 << 16)])
-                x = self.scores[row[row >= 0]]
-                for a in range(0, len(x), CHAIN):
-                    rows.append(x[a : a + CHAIN])
-                    owner.append(i)
-            if len(rows) >= 2048 or i + 1 == len(texts):
-                self._add(rows, owner, sums)
-                rows, owner = [], []
-        out = []
-        for x in sums:
-            total = x.sum()
-            best = int(np.argmax(x))
-            out.append((languages[best], float(min(1.0, x[best] / total))) if total > 0 else (UNKNOWN, 0.0))
-        return out
-
-    def _add(self, rows: list, owner: list, sums: np.ndarray) -> None:
-        if not rows:
+            mine = (text or "").split()
+            words += mine
+            counts.append(len(mine))
+            if len(words) >= 1 << 17 or i + 1 == len(texts):
+                row = self._look_up(words)
+                owner = np.repeat(np.arange(first, i + 1), counts)
+                self._add(row[row >= 0], owner[row >= 0], sums)
+                words, counts, first = [], [], i + 1
+        best = sums.argmax(1)
+        total = sums.sum(1)
+        return [(languages[b], min(1.0, float(x[b] / t))) if t > 0 else (UNKNOWN, 0.0) for x, b, t in zip(sums, best, total)]
+
+    def _add(self, row: np.ndarray, owner: np.ndarray, sums: np.ndarray) -> None:
+        """Adds the marginals of the words, given by their rows of scores, to the sums of their texts."""
+        if not len(row):
             return
-        lengths = np.array([len(x) for x in rows])
+        new = np.ones(len(row), bool)
+        new[1:] = owner[1:] != owner[:-1]
+        start = np.flatnonzero(new)[np.cumsum(new) - 1]
+        time = (np.arange(len(row)) - start) % CHAIN
+        head = np.flatnonzero(time == 0)
+        lengths = np.diff(head, append=len(row))
         order = np.argsort(-lengths, kind="stable")
-        owner, lengths = np.array(owner)[order], lengths[order]
         for at in range(0, len(order), 1024):
-            part, n = order[at : at + 1024], lengths[at : at + 1024]
-            scores = np.zeros((n[0], len(part), len(self.model.languages)))
+            part = order[at : at + 1024]
+            n = lengths[part]
             chain = np.repeat(np.arange(len(part)), n)
-            time = np.arange(len(chain)) - np.repeat(np.cumsum(n) - n, n)
-            scores[time, chain] = np.concatenate([rows[i] for i in part])
-            np.add.at(sums, owner[at : at + 1024], forward_backward(scores, n, self.model.moves).sum(0))
+            step = np.arange(len(chain)) - np.repeat(np.cumsum(n) - n, n)
+            scores = np.zeros((n[0], len(part), len(self.model.languages)))
+            scores[step, chain] = self.scores[row[head[part][chain] + step]]
+            np.add.at(sums, owner[head[part]], forward_backward(scores, n, self.model.moves).sum(0))
 
 
 _LABEL_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
