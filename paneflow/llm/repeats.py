@@ -34,9 +34,9 @@ from .common import BYTE_CODES, groups_of, mix, powers, text_volume, word_hashes
 
 _LOW = np.uint64((1 << 24) - 1)
 #: Units handled at once; bounds a worker's memory, also for very long texts.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Text bytes for each hash bucket.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 3 << 20
 #: Batches that a minimiser may come from before its windows are dealt one by one.
 HOT_BATCHES = 20_000
 _HOT = np.uint64(1 << 63)
@@ -135,7 +135,7 @@ def _tokens(minimiser: np.ndarray, buckets: int) -> np.ndarray:
     return (minimiser * np.uint64(buckets) >> np.uint64(40) << np.uint64(32)) | (minimiser & np.uint64(0xFFFFFFFF))
 
 
-def _portions(batches, limit: int = 8 << 20):
+def portions(batches, limit: int = 4 << 20):
     """The rows in batches of about `limit` characters of text."""
     for batch in batches:
         sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
@@ -349,7 +349,7 @@ def is_copy(text: bytes, doc: int | None, classes: list | None) -> bool:
 
 def _without_copies(batches):
     """Rows with empty texts for those that take no part: copies of smaller documents, and rows without doc_id."""
-    for batch in _portions(batches):
+    for batch in portions(batches):
         texts, ids, classes = (batch.column(c).to_pylist() for c in ("text", "doc", "classes"))
         texts = ["" if i is None or c and is_copy(x.encode(), i, c) else x for x, i, c in zip(texts, ids, classes)]
         at = batch.schema.get_field_index("text")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import spans_hash, table, word_hashes
-from .repeats import Words, covered, repeated_windows
+from .repeats import Words, covered, portions, repeated_windows
 
 WINDOW = 35
 MINIMISER = 12
@@ -74,7 +74,7 @@ def _resolver(k: int):
 
 def _keep(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             kept, total, gone = [], [], []
             for text, doc, found in zip(*(batch.column(c).to_pylist() for c in ("text", "doc", "found"))):
                 words = (text or "").encode().split()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import Bytes, covered, is_copy, repeated_windows
+from .repeats import Bytes, covered, is_copy, portions, repeated_windows
 
 WINDOW = 50
 MINIMISER = 25
@@ -155,7 +155,7 @@ def _resolver(k: int):
 
 def _keep(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             out = ([], [], [], [])
             for text, doc, found, classes in zip(*(batch.column(c).to_pylist() for c in ("text", "doc", "found", "classes"))):
                 text = (text or "").encode()
