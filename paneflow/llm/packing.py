@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 from collections import defaultdict
 from functools import cache
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import groups_of, table
 
 WINDOW = 2048
 END = 1
@@ -23,39 +25,83 @@ STEPS = 32
 DEPTH = 4
 #: Tokens that a worker gathers before it packs them.
 BLOCK_TOKENS = 1 << 22
-#: Different chunks between spaces whose ids a worker keeps.
-CACHED = 400_000
+#: Different chunks between spaces, and words, whose ids a worker keeps: twice as many at most.
+CACHED = 300_000
 
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+class Recent:
+    """A bounded dictionary of two generations: when the young one is full it becomes the old one, which is looked up last."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of keys that aren't known; the others are in the young generation afterwards, until the next call."""
+        if len(self.young) + len(keys) > self.size:
+            self.young, self.old = {}, self.young
+        out = []
+        for k in keys:
+            if k not in self.young:
+                if (v := self.old.get(k)) is None:
+                    out.append(k)
+                else:
+                    self.young[k] = v
+        return out
+
+
 class Encoder:
     """Token ids of texts as bytes (little-endian, 32 bits each).
 
     The tokenizer drops white space and joins nothing across it, so chunks between spaces and line feeds are encoded
-    apart, each different one once, in batches. Its normalizer treats a character like the text around it only within a
-    chunk.
+    apart, each different one once. Chunks of Latin letters, digits and signs are cut into words as the tokenizer cuts them,
+    since these repeat more; their new words are encoded many at a time and told apart by the tokens that end a word. Any
+    other chunk goes through the tokenizer as it is.
     """
 
-    def __init__(self, path: str):
+    # Fixed value: the tokenizer's pattern of words, over texts in lower case.
+    _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u017e]*")
+
+    def __init__(self, path: str, known: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.chunks, self.words = Recent(known), Recent(known)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, new: list[str]) -> None:
+        for at in range(0, len(new), 512):
+            part = new[at : at + 512]
+            ids = np.frombuffer(self._encode([" ".join(part)])[0], "<u4")
+            edges = np.flatnonzero(self.ends[ids]) + 1
+            if len(edges) == len(part) and edges[-1] == len(ids):
+                found = [x.tobytes() for x in np.split(ids, edges[:-1])]
+            else:
+                found = self._encode(part)
+            self.words.young.update(zip(part, found))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            if new := [x for x in {*chunks} if x not in self.known]:
-                if len(self.known) + len(new) > CACHED:
-                    self.known = {"": b""}
-                    new = list({*chunks} - {""})
-                for chunk, x in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                    self.known[chunk] = np.asarray(x.ids, "<u4").tobytes()
-            out.append(b"".join(map(self.known.__getitem__, chunks)))
-        return out
+        lists = [x.replace("\n", " ").split(" ") for x in texts]
+        new = self.chunks.missing({c for x in lists for c in x})
+        if new:
+            plain = [c for c in new if self._PLAIN.fullmatch(c) and "<|" not in c]
+            cut = [self._WORD.findall(c.lower()) for c in plain]
+            self._learn_words(self.words.missing({w for x in cut for w in x}))
+            ids = self.words.young
+            self.chunks.young.update((c, b"".join([ids[w] for w in x])) for c, x in zip(plain, cut))
+            if len(plain) < len(new):
+                other = [c for c in new if c not in self.chunks.young]
+                self.chunks.young.update(zip(other, self._encode(other)))
+        known = self.chunks.young
+        return [b"".join(map(known.__getitem__, x)) for x in lists]
 
 
 def nonnegative_least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -206,8 +252,8 @@ def _pack_partition(path: str, window: int, end: int, block_tokens: int):
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
             texts = batch.column("text").to_pylist()
-            for at in range(0, len(ids), 64):
-                for doc_id, code in zip(ids[at : at + 64], encoder.encode([x or "" for x in texts[at : at + 64]])):
+            for a, b in groups_of([len(x or "") for x in texts], 1 << 20):
+                for doc_id, code in zip(ids[a:b], encoder.encode([x or "" for x in texts[a:b]])):
                     docs.append((doc_id, code + last))
                     tokens += len(code) // 4 + 1
                 if tokens >= block_tokens:
