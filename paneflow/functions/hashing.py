@@ -11,10 +11,9 @@ from pyspark.sql import types as T
 PRIME = 2**31 - 1
 
 
-def factors(row: int) -> tuple[int, int]:
-    """Factor and offset of the hash of a sketch's row, by a rule."""
-    a = (1_103_515_245 * (row + 1) + 12_345) % PRIME
-    return a, (a * 48_271 + 11) % PRIME
+def factors(row: int) -> tuple[int, int, int]:
+    """First factor, offset and second factor (below 2**30) of the hash of a sketch's row, by a rule: powers of primitive roots."""
+    return pow(48_271, 3 * row + 5, PRIME), pow(69_621, row + 3, PRIME), pow(39_373, 5 * row + 7, PRIME) % 2**30
 
 
 def fold_sql(*columns: str) -> str:
@@ -26,9 +25,10 @@ def fold_sql(*columns: str) -> str:
 
 
 def position_sql(folded: str, row: int, width: int) -> str:
-    """SQL of the position of a folded key in a row of a sketch."""
-    a, b = factors(row)
-    return f"((({folded} * {a} + {b}) % {PRIME}) % {width})"
+    """SQL of the position of a folded key in a row of a sketch. Two rounds, so that keys in a row don't give positions in a row."""
+    a, b, c = factors(row)
+    x = f"(({folded} * {a} + {b}) % {PRIME})"
+    return f"((({x} + ({x} >> 13)) * {c} % {PRIME}) % {width})"
 
 
 def fold(*columns: str) -> Column:
@@ -107,5 +107,6 @@ def trailing_ones_sql(x: str) -> str:
 
 def numpy_position(keys: np.ndarray, row: int, width: int) -> np.ndarray:
     """position for an array of folded keys."""
-    a, b = factors(row)
-    return (keys.astype(np.int64) * a + b) % PRIME % width
+    a, b, c = factors(row)
+    x = (keys.astype(np.int64) * a + b) % PRIME
+    return (x + (x >> 13)) * c % PRIME % width

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def test_bloom_never_counts_more_than_there_are(packets, rows):
         folded = 0
         for c in r[2:4]:
             folded = (folded * 1000003 + c) % hashing.PRIME
-        at = [(folded * a + b) % hashing.PRIME % 128 for a, b in map(hashing.factors, range(2))]
+        at = [int(hashing.numpy_position(np.array([folded]), i, 128)[0]) for i in range(2)]
         new += any(p not in s for p, s in zip(at, bits))
         for p, s in zip(at, bits):
             s.add(p)
@@ -91,8 +92,7 @@ def test_rotating_counters_cover_one_to_two_windows(packets):
     new, old, expect = defaultdict(int), defaultdict(int), {}
     by_pane = defaultdict(list)
     for r in panes.select("pane", hashing.fold("dst_ip").alias("k")).collect():
-        a, b = hashing.factors(0)
-        by_pane[r.pane].append((r.k * a + b) % hashing.PRIME % 7)
+        by_pane[r.pane].append(int(hashing.numpy_position(np.array([r.k]), 0, 7)[0]))
     for w in range(15):
         for p in by_pane[w]:
             new[p] += 1
