@@ -8,7 +8,8 @@ one packed string (a super-k-mer), so the strings that could be equal meet in on
    a repeated window and are dropped, which keeps what travels later in proportion to what repeats.
 2. `_pack`: packed strings with the other minimisers go to buckets. Strings that repeat within an Arrow batch are
    settled there and travel once, so that a passage in a third of all documents costs one string a batch. Minimisers
-   that come from very many batches are dealt by the hash of each whole window instead, so no bucket holds them all.
+   that come from very many batches are dealt by the hash of each whole window instead, so no bucket holds them all; what
+   every task is told for that is bounded, and minimisers beyond the bound go to their bucket like any other.
 3. A string that is alone with its minimiser is settled by its own occurrences. `resolve` (given by the operator) sorts
    the windows of the others in a bucket and says which of them are to be removed.
 4. The windows found are brought back to their documents.
@@ -39,7 +40,8 @@ SLICE = 1 << 18
 BUCKET_BYTES = 3 << 20
 #: Batches that a minimiser may come from before its windows are dealt one by one.
 HOT_BATCHES = 20_000
-_HOT = np.uint64(1 << 63)
+#: How many minimisers of a bucket, and of how many buckets, are dealt so at most: the list that every task gets is small.
+HOT_TOKENS, HOT_BUCKETS = 16, 1024
 _CLASSES = "array<struct<digest:string,least:bigint>>"
 _PACK_SCHEMA = "bucket int, token int, packed binary, doc long, rid32 int, start long, many boolean, flags binary"
 
@@ -198,7 +200,10 @@ def _split(keys: np.ndarray, values: np.ndarray) -> tuple[list, list]:
 
 
 def _repeated(hot_batches: int) -> Callable:
-    """Of one bucket: for each document the tokens that occur again; what repeated within a batch passes through."""
+    """Of one bucket: for each document the tokens that occur again; what repeated within a batch passes through.
+
+    The tokens that come from the most batches are given under no document.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         rid, tokens, hashes, owners, shared = [], [], [], [], []
@@ -217,14 +222,17 @@ def _repeated(hot_batches: int) -> Callable:
             owner = np.concatenate(owners) if owners else np.zeros(0, np.int32)
             every = np.concatenate([alone, *shared])
             value, count = np.unique(every, return_counts=True)
-            times = count[np.searchsorted(value, alone)]
-            found = times > 1
+            found = count[np.searchsorted(value, alone)] > 1
             token = alone[found].astype(np.uint64) | high
-            token[times[found] > hot_batches] |= _HOT
             order = np.argsort(owner[found], kind="stable")
             for r, part in zip(*_split(owner[found][order], token[order])):
                 rid.append(int(r))
                 tokens.append(part.tobytes())
+            hot = np.argsort(-count, kind="stable")[:HOT_TOKENS]
+            hot = value[hot][count[hot] > hot_batches]
+            if len(hot):
+                rid.append(None)
+                tokens.append((hot.astype(np.uint64) | high).tobytes())
         return pa.table({"rid32": pa.array(rid, pa.int32()), "tokens": pa.array(tokens, pa.binary())})
 
     return run
@@ -255,24 +263,22 @@ def _pack(kind: type, k: int, g: int, buckets: int, settle: Callable) -> Callabl
             strings: dict[bytes, list] = {}
             routes: dict[bytes, tuple[int, int]] = {}
             wanted: dict[int, np.ndarray] = {}
-            hot: dict[int, np.ndarray] = {}
+            hot = np.frombuffer(b"".join(batch.column("hot")[0].as_py() or []) if batch.num_rows else b"", np.uint64)
             for doc, first, last, minimiser, window_hash in runs(units, k, g):
                 token = _tokens(minimiser, buckets)
                 for d, part in zip(*_split(doc, np.arange(len(doc)))):
                     if d not in wanted:
-                        every = np.frombuffer(b"".join(lists[d]), np.uint64)
-                        hot[d] = every[every >= _HOT] & ~_HOT
-                        wanted[d] = np.unique(every & ~_HOT)
+                        wanted[d] = np.unique(np.frombuffer(b"".join(lists[d]), np.uint64))
                     part = part[np.isin(token[part], wanted[d])]
-                    dealt = np.isin(token[part], hot[d]) if len(hot[d]) else np.zeros(len(part), bool)
+                    dealt = np.isin(token[part], hot) if len(hot) else np.zeros(len(part), bool)
                     spread = mix(token[part])
                     for i, s, e, to, single in zip(part.tolist(), first[part].tolist(), last[part].tolist(), spread.tolist(), dealt.tolist()):
-                        hash_of = window_hash(i) if single else None
+                        hashes = mix(window_hash(i)(np.arange(s, e))).tolist() if single else None
                         for a, b in ((w, w + 1) for w in range(s, e)) if single else ((s, e),):
                             key = units.packed(d, a, b + k - 1)
                             strings.setdefault(key, []).append((d, a, b))
                             if single:
-                                to = int(mix(hash_of(a)))
+                                to = hashes[a - s]
                             routes[key] = to % buckets, to >> 33
             out = {c: [] for c in columns}
 
@@ -379,7 +385,8 @@ def repeated_windows(
     census = d.mapInArrow(_after(_without_copies, _census(kind, k, g, buckets, first_stays)), "bucket int, a binary, b binary")
     again = census.groupBy("bucket").applyInArrow(_repeated(hot_batches), "rid32 int, tokens binary")
     again = again.groupBy("rid32").agg(F.collect_list("tokens").alias("tokens"))
-    packs = d.join(again, "rid32").mapInArrow(_after(_without_copies, _pack(kind, k, g, buckets, settle)), _PACK_SCHEMA)
+    hot = again.filter("rid32 IS NULL").agg(F.slice(F.first("tokens"), 1, HOT_BUCKETS).alias("hot"))  # one small row
+    packs = d.join(again, "rid32").crossJoin(F.broadcast(hot)).mapInArrow(_after(_without_copies, _pack(kind, k, g, buckets, settle)), _PACK_SCHEMA)
     flags = packs.groupBy("bucket").applyInArrow(_bucket(whole, resolve), "rid32 int, doc long, flags binary")
     flags = flags.groupBy("rid32").agg(F.collect_list(F.struct("doc", "flags")).alias("found"))
     return d.join(flags, "rid32", "left")
