@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+import inspect
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +40,26 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def tidy(run: Callable) -> Callable:
+    """run, for Arrow batches or one Arrow table, after which the worker hands memory that it no longer uses back to the machine."""
+
+    def hand_back():
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # other C libraries
+            ctypes.CDLL(None).malloc_trim(0)
+
+    def over(batches):
+        yield from run(batches)
+        hand_back()
+
+    def once(table):
+        out = run(table)
+        hand_back()
+        return out
+
+    return over if inspect.isgeneratorfunction(run) else once
+
+
 def text_volume(docs: DataFrame) -> tuple[int, int]:
     """Rows of docs and bytes of its texts."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, tidy
 
 UNKNOWN = "und"
 #: Documents of each language that the model is fitted on at most, one for each value of a hash.
@@ -304,7 +304,7 @@ def identify_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Dat
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, _LABEL_SCHEMA)
+    return rows.mapInArrow(tidy(run), _LABEL_SCHEMA)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -318,7 +318,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
             found = labeller.label(texts) if labeller else [(UNKNOWN, 0.0)] * len(texts)
             yield batch.filter(pa.array([x != UNKNOWN and score >= least for x, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import groups_of, table
+from .common import groups_of, table, tidy
 
 WINDOW = 2048
 END = 1
@@ -24,9 +24,9 @@ STEPS = 32
 #: Most pieces of a planned combination.
 DEPTH = 4
 #: Tokens that a worker gathers before it packs them.
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 #: Different chunks between spaces, and words, whose ids a worker keeps: twice as many at most.
-CACHED = 300_000
+CACHED = 200_000
 
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -142,18 +142,22 @@ def combinations(steps: int, depth: int) -> tuple[tuple[tuple[int, ...], ...], n
     return tuple(found), counts
 
 
-def plan(histogram: np.ndarray, steps: int = STEPS, depth: int = DEPTH) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: np.ndarray, steps: int = STEPS, depth: int = DEPTH, rounds: int = 3) -> list[tuple[tuple[int, ...], int]]:
     """Combinations and how often to fill one, for a histogram of the lengths 1 to steps - 1; never more than there are."""
     found, counts = combinations(steps, depth)
     left = histogram.astype(np.int64).copy()
     out = []
-    x = nonnegative_least_squares(counts, histogram.astype(float))
-    for j in np.argsort(-x, kind="stable"):
-        need = counts[:, j].astype(np.int64)
-        times = min(int(round(x[j])), int(np.min(left[need > 0] // need[need > 0])))
-        if times > 0:
-            left -= times * need
-            out.append((found[j], times))
+    for _ in range(rounds):  # what rounding leaves is solved for again
+        x = nonnegative_least_squares(counts, left.astype(float))
+        before = len(out)
+        for j in np.argsort(-x, kind="stable"):
+            need = counts[:, j].astype(np.int64)
+            times = min(int(round(x[j])), int(np.min(left[need > 0] // need[need > 0])))
+            if times > 0:
+                left -= times * need
+                out.append((found[j], times))
+        if len(out) == before:
+            break
     return out
 
 
@@ -275,7 +279,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: i
     Rows that repeat a doc_id, or have none, are documents of their own. sequence_id is unique but has gaps.
     tokenizer: a file of the library tokenizers, which every executor can read. An empty table gives an empty table.
     """
-    return docs.select("doc_id", "text").mapInArrow(_pack_partition(tokenizer, window, end, block_tokens), _SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(_pack_partition(tokenizer, window, end, block_tokens)), _SCHEMA)
 
 
 def tokenizer_path() -> str:

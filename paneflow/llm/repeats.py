@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, groups_of, mix, powers, text_volume, word_hashes
+from .common import BYTE_CODES, groups_of, mix, powers, text_volume, tidy, word_hashes
 
 _LOW = np.uint64((1 << 24) - 1)
 #: Units handled at once; bounds a worker's memory, also for very long texts.
@@ -383,18 +383,21 @@ def repeated_windows(
     else:
         d = d.withColumn("classes", F.lit(None).cast(_CLASSES))
     census = d.mapInArrow(_after(_without_copies, _census(kind, k, g, buckets, first_stays)), "bucket int, a binary, b binary")
-    again = census.groupBy("bucket").applyInArrow(_repeated(hot_batches), "rid32 int, tokens binary")
+    again = census.groupBy("bucket").applyInArrow(tidy(_repeated(hot_batches)), "rid32 int, tokens binary")
     again = again.groupBy("rid32").agg(F.collect_list("tokens").alias("tokens"))
     hot = again.filter("rid32 IS NULL").agg(F.slice(F.first("tokens"), 1, HOT_BUCKETS).alias("hot"))  # one small row
     packs = d.join(again, "rid32").crossJoin(F.broadcast(hot)).mapInArrow(_after(_without_copies, _pack(kind, k, g, buckets, settle)), _PACK_SCHEMA)
-    flags = packs.groupBy("bucket").applyInArrow(_bucket(whole, resolve), "rid32 int, doc long, flags binary")
+    flags = packs.groupBy("bucket").applyInArrow(tidy(_bucket(whole, resolve)), "rid32 int, doc long, flags binary")
     flags = flags.groupBy("rid32").agg(F.collect_list(F.struct("doc", "flags")).alias("found"))
     return d.join(flags, "rid32", "left")
 
 
 def _after(first: Callable, then: Callable) -> Callable:
     """Both steps in one worker."""
-    return lambda batches: then(first(batches))
+    def run(batches):
+        yield from then(first(batches))
+
+    return tidy(run)
 
 
 def covered(found: list | None, doc: int | None, k: int) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 KINDS = ("assign", "access", "hex", "random")
 # The patterns of secrets that have a form.
@@ -187,7 +187,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     spans (all, kind:start:end, comma-joined). A null or empty text has none. Rows are looked at one by one, so repeated
     rows, null ids and other columns make no difference.
     """
-    return docs.select("doc_id", "text").mapInArrow(_scan, _SCAN)
+    return docs.select("doc_id", "text").mapInArrow(tidy(_scan), _SCAN)
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
                 columns[i] = pa.array([None if x is None else len(x) for x in texts], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

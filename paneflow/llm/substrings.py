@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spans_hash, table, word_hashes
+from .common import spans_hash, table, tidy, word_hashes
 from .repeats import Words, covered, portions, repeated_windows
 
 WINDOW = 35
@@ -102,7 +102,7 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, minimiser: int
     """
     more = {} if hot_batches is None else {"hot_batches": hot_batches}
     found = repeated_windows(docs, Words, window, min(minimiser, window), _settle, _whole(window), _resolver(window), first_stays=False, **more)
-    return found.select("text", "doc", "found").mapInArrow(_keep(window), "doc_id long, n_words long, n_removed long, text string")
+    return found.select("text", "doc", "found").mapInArrow(tidy(_keep(window)), "doc_id long, n_words long, n_removed long, text string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 from .repeats import Bytes, covered, is_copy, portions, repeated_windows
 
 WINDOW = 50
@@ -184,7 +184,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, minimiser: int
     """
     more = {} if hot_batches is None else {"hot_batches": hot_batches}
     found = repeated_windows(docs, Bytes, window, min(minimiser, window), _settle, _whole(window), _resolver(window), first_stays=True, **more)
-    return found.select("text", "doc", "found", "classes").mapInArrow(_keep(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return found.select("text", "doc", "found", "classes").mapInArrow(tidy(_keep(window)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

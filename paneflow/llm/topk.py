@@ -16,8 +16,9 @@ K = 10
 SCALE = 1024
 #: Points of one tree.
 TREE = 4096
-#: Points below which a node isn't divided.
+#: Points below which a node isn't divided, of candidates and of queries.
 LEAF = 48
+QUERY_LEAF = 8
 #: Candidates and queries that meet in one task.
 CANDIDATES, QUERIES = 32_768, 2_048
 _EXACT = 2.0**53
@@ -26,7 +27,8 @@ _EXACT = 2.0**53
 class CoverTree:
     """A tree over points: each node has a centre, a covering radius, and its points as order[start:end]."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        self.leaf = leaf
         self.points, self.norms = points, np.sqrt((points**2).sum(1))
         self.order = np.arange(len(points))
         self.nodes: list[list] = []  # centre, radius, start, end, children
@@ -42,7 +44,7 @@ class CoverTree:
         radius = float(self._far[centre, mine].max())
         at = len(self.nodes)
         self.nodes.append([centre, radius, start, end, []])
-        if end - start <= LEAF or radius == 0:
+        if end - start <= self.leaf or radius == 0:
             return at
         left, parts = mine, []
         while len(left):
@@ -50,9 +52,10 @@ class CoverTree:
             parts.append(left[near])
             left = left[~near]
         # centres that cover little stay together in one child, which keeps the tree shallow where all distances are alike
-        small = [p for p in parts if len(p) < 8]
+        few = max(2, self.leaf // 6)
+        small = [p for p in parts if len(p) < few]
         if len(small) > 1:
-            parts = [p for p in parts if len(p) >= 8] + [np.concatenate(small)]
+            parts = [p for p in parts if len(p) >= few] + [np.concatenate(small)]
         if len(parts) == 1:
             half = np.argsort(self._far[centre, mine], kind="stable")
             parts = [mine[half[: len(half) // 2]], mine[half[len(half) // 2 :]]]
@@ -151,7 +154,7 @@ def _meet(k: int):
             best = Best(len(q), k)
             for a in range(0, len(q), TREE):
                 own = Best(len(q[a : a + TREE]), k)
-                tree = CoverTree(q[a : a + TREE])
+                tree = CoverTree(q[a : a + TREE], QUERY_LEAF)
                 for at in range(0, len(r), TREE):
                     search(q[a : a + TREE], q_ids[a : a + TREE], tree, r[at : at + TREE], r_ids[at : at + TREE], own)
                 best.score[a : a + TREE], best.id[a : a + TREE] = own.score, own.id
