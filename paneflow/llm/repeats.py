@@ -36,8 +36,8 @@ from .common import BYTE_CODES, groups_of, mix, powers, text_volume, tidy, word_
 _LOW = np.uint64((1 << 24) - 1)
 #: Units handled at once; bounds a worker's memory, also for very long texts.
 SLICE = 1 << 18
-#: Text bytes for each hash bucket.
-BUCKET_BYTES = 3 << 20
+#: Text bytes for each hash bucket of packed strings, and of minimisers, which are small.
+BUCKET_BYTES, CENSUS_BYTES = 3 << 20, 64 << 20
 #: Batches that a minimiser may come from before its windows are dealt one by one.
 HOT_BATCHES = 20_000
 #: How many minimisers of a bucket, and of how many buckets, are dealt so at most: the list that every task gets is small.
@@ -202,7 +202,7 @@ def _split(keys: np.ndarray, values: np.ndarray) -> tuple[list, list]:
 def _repeated(hot_batches: int) -> Callable:
     """Of one bucket: for each document the tokens that occur again; what repeated within a batch passes through.
 
-    The tokens that come from the most batches are given under no document.
+    The tokens that come from the most batches are given under the key -1, which no document has.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -231,7 +231,7 @@ def _repeated(hot_batches: int) -> Callable:
             hot = np.argsort(-count, kind="stable")[:HOT_TOKENS]
             hot = value[hot][count[hot] > hot_batches]
             if len(hot):
-                rid.append(None)
+                rid.append(-1)
                 tokens.append((hot.astype(np.uint64) | high).tobytes())
         return pa.table({"rid32": pa.array(rid, pa.int32()), "tokens": pa.array(tokens, pa.binary())})
 
@@ -249,7 +249,7 @@ def _ranges(first: list, last: list) -> bytes:
     return np.stack([a[at], np.concatenate((b[at[1:] - 1], b[-1:]))], 1).tobytes()
 
 
-def _pack(kind: type, k: int, g: int, buckets: int, settle: Callable) -> Callable:
+def _pack(kind: type, k: int, g: int, lists_by: int, buckets: int, settle: Callable) -> Callable:
     columns = [x.split()[0] for x in _PACK_SCHEMA.split(", ")]
 
     """Packed strings of the minimisers that occur again. settle says of the occurrences of one string in a batch which ones are found at once and which still travel."""
@@ -265,7 +265,7 @@ def _pack(kind: type, k: int, g: int, buckets: int, settle: Callable) -> Callabl
             wanted: dict[int, np.ndarray] = {}
             hot = np.frombuffer(b"".join(batch.column("hot")[0].as_py() or []) if batch.num_rows else b"", np.uint64)
             for doc, first, last, minimiser, window_hash in runs(units, k, g):
-                token = _tokens(minimiser, buckets)
+                token = _tokens(minimiser, lists_by)
                 for d, part in zip(*_split(doc, np.arange(len(doc)))):
                     if d not in wanted:
                         wanted[d] = np.unique(np.frombuffer(b"".join(lists[d]), np.uint64))
@@ -375,18 +375,19 @@ def repeated_windows(
     key = F.xxhash64("text") if first_stays else F.xxhash64("doc", "text")
     d = d.select(F.shiftrightunsigned(key, 33).cast("int").alias("rid32"), "doc", "text")
     _, volume = text_volume(docs)
-    buckets = max(8, -(-volume // BUCKET_BYTES))
+    buckets, lists_by = (max(8, -(-volume // x)) for x in (BUCKET_BYTES, CENSUS_BYTES))
     if first_stays:
         classes = d.filter("doc IS NOT NULL").groupBy("rid32", F.sha1("text").alias("digest")).agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"))
         classes = classes.filter("n > 1").groupBy("rid32").agg(F.collect_list(F.struct("digest", "least")).alias("classes"))
         d = d.join(classes, "rid32", "left")
     else:
         d = d.withColumn("classes", F.lit(None).cast(_CLASSES))
-    census = d.mapInArrow(_after(_without_copies, _census(kind, k, g, buckets, first_stays)), "bucket int, a binary, b binary")
+    census = d.mapInArrow(_after(_without_copies, _census(kind, k, g, lists_by, first_stays)), "bucket int, a binary, b binary")
     again = census.groupBy("bucket").applyInArrow(tidy(_repeated(hot_batches)), "rid32 int, tokens binary")
-    again = again.groupBy("rid32").agg(F.collect_list("tokens").alias("tokens"))
-    hot = again.filter("rid32 IS NULL").agg(F.slice(F.first("tokens"), 1, HOT_BUCKETS).alias("hot"))  # one small row
-    packs = d.join(again, "rid32").crossJoin(F.broadcast(hot)).mapInArrow(_after(_without_copies, _pack(kind, k, g, buckets, settle)), _PACK_SCHEMA)
+    again = again.filter("rid32 IS NOT NULL").groupBy("rid32").agg(F.collect_list("tokens").alias("tokens"))
+    hot = F.first(F.when(F.col("rid32") == -1, F.slice("tokens", 1, HOT_BUCKETS)), ignorenulls=True)
+    hot = again.agg(hot.alias("hot"))  # one small row
+    packs = d.join(again, "rid32").crossJoin(F.broadcast(hot)).mapInArrow(_after(_without_copies, _pack(kind, k, g, lists_by, buckets, settle)), _PACK_SCHEMA)
     flags = packs.groupBy("bucket").applyInArrow(tidy(_bucket(whole, resolve)), "rid32 int, doc long, flags binary")
     flags = flags.groupBy("rid32").agg(F.collect_list(F.struct("doc", "flags")).alias("found"))
     return d.join(flags, "rid32", "left")
