@@ -4,7 +4,7 @@ A window is k consecutive units (words or bytes) of one document. The smallest h
 window is its minimiser; equal windows have equal minimisers. Consecutive windows with the same minimiser travel as
 one packed string (a super-k-mer), so the strings that could be equal meet in one bucket:
 
-1. `_census`: each document's minimisers, as 40-bit hashes, go to hash buckets; those that occur once can't belong to
+1. `_census`: each document's minimisers go to hash buckets, as 32 bits beside the bucket's number; those that occur once can't belong to
    a repeated window and are dropped, which keeps what travels later in proportion to what repeats.
 2. `_pack`: packed strings with the other minimisers go to buckets. Strings that repeat within an Arrow batch are
    settled there and travel once, so that a passage in a third of all documents costs one string a batch. Minimisers
@@ -14,7 +14,7 @@ one packed string (a super-k-mer), so the strings that could be equal meet in on
    the windows of the others in a bucket and says which of them are to be removed.
 4. The windows found are brought back to their documents.
 
-The 40-bit hashes only choose what travels; windows are compared in full, so a collision costs time and no result.
+These hashes only choose what travels; windows are compared in full, so a collision costs time and no result.
 Documents meet their windows again by the shuffle key `rid32`, 31 bits of a hash; the joins share one exchange of the
 texts. Rows that repeat a doc_id with another text are told apart by it.
 """
@@ -102,7 +102,7 @@ def _slice_runs(codes: np.ndarray, doc_end: np.ndarray, k: int, g: int) -> tuple
     first, last = at[:-1], at[1:]
     keep = valid[first]
     first, last = first[keep], last[keep]
-    return first, last, least[first] >> np.uint64(24), (sums, down)
+    return first, last, grams[(least[first] & _LOW).astype(np.int64)], (sums, down)
 
 
 def runs(units, k: int, g: int) -> Iterator[tuple]:
@@ -134,7 +134,8 @@ def runs(units, k: int, g: int) -> Iterator[tuple]:
 
 def _tokens(minimiser: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket in the high half, 32 bits of hash in the low half."""
-    return (minimiser * np.uint64(buckets) >> np.uint64(40) << np.uint64(32)) | (minimiser & np.uint64(0xFFFFFFFF))
+    bucket = (minimiser >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return bucket << np.uint64(32) | (minimiser & np.uint64(0xFFFFFFFF))
 
 
 def portions(batches, limit: int = 4 << 20):
