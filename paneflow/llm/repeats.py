@@ -37,7 +37,9 @@ _LOW = np.uint64((1 << 24) - 1)
 #: Units handled at once; bounds a worker's memory, also for very long texts.
 SLICE = 1 << 18
 #: Text bytes for each hash bucket of packed strings, and of minimisers, which are small.
-BUCKET_BYTES, CENSUS_BYTES = 3 << 20, 64 << 20
+BUCKET_BYTES, CENSUS_BYTES = 3 << 20, 48 << 20
+#: Ranges of hashes in which a bucket of minimisers is counted.
+PASSES = 16
 #: Batches that a minimiser may come from before its windows are dealt one by one.
 HOT_BATCHES = 20_000
 #: How many minimisers of a bucket, and of how many buckets, are dealt so at most: the list that every task gets is small.
@@ -218,22 +220,27 @@ def _repeated(hot_batches: int) -> Callable:
             else:
                 hashes.append(np.frombuffer(a, np.uint32))
                 owners.append(np.frombuffer(b, np.int32))
-        if hashes or shared:
-            alone = np.concatenate(hashes) if hashes else np.zeros(0, np.uint32)
-            owner = np.concatenate(owners) if owners else np.zeros(0, np.int32)
-            every = np.concatenate([alone, *shared])
-            value, count = np.unique(every, return_counts=True)
-            found = count[np.searchsorted(value, alone)] > 1
-            token = alone[found].astype(np.uint64) | high
-            order = np.argsort(owner[found], kind="stable")
-            for r, part in zip(*_split(owner[found][order], token[order])):
-                rid.append(int(r))
-                tokens.append(part.tobytes())
-            hot = np.argsort(-count, kind="stable")[:HOT_TOKENS]
-            hot = value[hot][count[hot] > hot_batches]
-            if len(hot):
-                rid.append(-1)
-                tokens.append((hot.astype(np.uint64) | high).tobytes())
+        every = [(a, b) for a, b in zip(hashes, owners)] + [(x, None) for x in shared]
+        owner, token, hot = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], []
+        for part in range(PASSES if every else 0):  # lists are sorted; a pass takes a range of hashes of each
+            limits = [(part << 32) // PASSES, ((part + 1) << 32) // PASSES]
+            cut = [(a, b, *np.searchsorted(a, np.array(limits, np.uint64))) for a, b in every]
+            alone = np.concatenate([a[i:j] for a, b, i, j in cut if b is not None] or [np.zeros(0, np.uint32)])
+            own = np.concatenate([b[i:j] for a, b, i, j in cut if b is not None] or [np.zeros(0, np.int32)])
+            value, count = np.unique(np.concatenate([alone, *(a[i:j] for a, b, i, j in cut if b is None)]), return_counts=True)
+            found = (count > 1)[np.searchsorted(value, alone)] if len(alone) else np.zeros(0, bool)
+            owner.append(own[found])
+            token.append(alone[found].astype(np.uint64) | high)
+            hot += [(int(n), int(v)) for v, n in zip(value[count > hot_batches].tolist(), count[count > hot_batches].tolist())]
+        owner, token = np.concatenate(owner), np.concatenate(token)
+        order = np.argsort(owner, kind="stable")
+        for r, part in zip(*_split(owner[order], token[order])):
+            rid.append(int(r))
+            tokens.append(part.tobytes())
+        if hot:
+            hot = np.array([v for _, v in sorted(hot, reverse=True)[:HOT_TOKENS]], np.uint64)
+            rid.append(-1)
+            tokens.append((hot | high).tobytes())
         return pa.table({"rid32": pa.array(rid, pa.int32()), "tokens": pa.array(tokens, pa.binary())})
 
     return run
