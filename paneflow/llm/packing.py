@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections import defaultdict
+from collections.abc import Callable, Iterable
 from functools import cache
 from itertools import combinations_with_replacement
 
@@ -26,28 +27,38 @@ DEPTH = 4
 #: Tokens that a worker gathers before it packs them.
 BLOCK_TOKENS = 1 << 21
 #: Different chunks between spaces, and words, whose ids a worker keeps: twice as many at most.
-CACHED = 200_000
+CACHED = 400_000
 
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-class Recent:
-    """A bounded dictionary of two generations: when the young one is full it becomes the old one, which is looked up last."""
+class Recent(dict):
+    """A bounded dictionary of two generations: when it is full its content becomes the old one, which is looked up last.
+
+    Looking up a key that neither has gives None and notes the key in `new`.
+    """
 
     def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """Those of keys that aren't known; the others are in the young generation afterwards, until the next call."""
-        if len(self.young) + len(keys) > self.size:
-            self.young, self.old = {}, self.young
-        out = []
-        for k in keys:
-            if k not in self.young:
-                if (v := self.old.get(k)) is None:
-                    out.append(k)
-                else:
-                    self.young[k] = v
+        super().__init__()
+        self.size, self.old, self.new = size, {}, set()
+
+    def __missing__(self, key: str) -> bytes | None:
+        if (value := self.old.get(key)) is None:  # so an empty value is kept too
+            self.new.add(key)
+        else:
+            self[key] = value
+        return value
+
+    def look_up(self, keys: list[list[str]], learn: Callable[[list[str]], Iterable[tuple[str, bytes]]]) -> list[list[bytes]]:
+        """The values of some lists of keys; learn gives those of new keys."""
+        if len(self) > self.size:
+            self.old = self.copy()
+            self.clear()
+        out = [list(map(self.__getitem__, x)) for x in keys]
+        if self.new:
+            new, self.new = list(self.new), set()
+            self.update(learn(new))
+            out = [[self[k] if v is None else v for k, v in zip(x, y)] for x, y in zip(keys, out)]
         return out
 
 
@@ -60,8 +71,8 @@ class Encoder:
     other chunk goes through the tokenizer as it is.
     """
 
-    # Fixed value: the tokenizer's pattern of words, over texts in lower case.
-    _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    # Fixed value: the tokenizer's pattern of words, over texts in lower case; and the space that divides chunks here.
+    _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+| ")
     _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u017e]*")
 
     def __init__(self, path: str, known: int = CACHED):
@@ -77,31 +88,34 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, new: list[str]) -> None:
+    def _learn_words(self, new: list[str]) -> Iterable[tuple[str, bytes]]:
         for at in range(0, len(new), 512):
             part = new[at : at + 512]
-            ids = np.frombuffer(self._encode([" ".join(part)])[0], "<u4")
-            edges = np.flatnonzero(self.ends[ids]) + 1
-            if len(edges) == len(part) and edges[-1] == len(ids):
-                found = [x.tobytes() for x in np.split(ids, edges[:-1])]
+            raw = self._encode([" ".join(part)])[0]
+            edges = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
+            if len(edges) == len(part) and edges[-1] == len(raw):
+                yield from zip(part, (raw[a:b] for a, b in zip([0, *edges], edges)))
             else:
-                found = self._encode(part)
-            self.words.young.update(zip(part, found))
+                yield from zip(part, self._encode(part))
+
+    def _learn_chunks(self, new: list[str]) -> Iterable[tuple[str, bytes]]:
+        plain = [c for c in new if (c.isascii() or self._PLAIN.fullmatch(c)) and "<|" not in c and c.isprintable()]
+        words = self._WORD.findall(" ".join(plain).lower())
+        cut = np.fromiter((w == " " for w in words), bool, len(words))  # a space ends a chunk
+        self.words[" "] = b""
+        ids = self.words.look_up([words], self._learn_words)[0]
+        raw = b"".join(ids)
+        upto = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        ends = [*upto[cut].tolist(), len(raw)]
+        yield from zip(plain, (raw[i:j] for i, j in zip([0, *ends], ends)))
+        if len(plain) < len(new):
+            known = set(plain)
+            other = [c for c in new if c not in known]
+            yield from zip(other, self._encode(other))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        lists = [x.replace("\n", " ").split(" ") for x in texts]
-        new = self.chunks.missing({c for x in lists for c in x})
-        if new:
-            plain = [c for c in new if self._PLAIN.fullmatch(c) and "<|" not in c]
-            cut = [self._WORD.findall(c.lower()) for c in plain]
-            self._learn_words(self.words.missing({w for x in cut for w in x}))
-            ids = self.words.young
-            self.chunks.young.update((c, b"".join([ids[w] for w in x])) for c, x in zip(plain, cut))
-            if len(plain) < len(new):
-                other = [c for c in new if c not in self.chunks.young]
-                self.chunks.young.update(zip(other, self._encode(other)))
-        known = self.chunks.young
-        return [b"".join(map(known.__getitem__, x)) for x in lists]
+        found = self.chunks.look_up([x.replace("\n", " ").split(" ") for x in texts], self._learn_chunks)
+        return [b"".join(x) for x in found]
 
 
 def nonnegative_least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
