@@ -57,6 +57,33 @@ def spot_fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     return docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), signatures(text, chain).alias("signatures"))
 
 
+def spot_links(docs: DataFrame, alike: float = 0.8, chain: int = CHAIN) -> tuple[DataFrame, DataFrame]:
+    """Pairs of sets of signatures (a, b, similarity) that are alike, and the rows' memberships (doc_id, set_id).
+
+    A set is named by its least doc_id, so copies are one set and aren't expanded into pairs; rows without signatures or
+    doc_id are in no set. Sets are partitioned by length, where only neighbouring classes meet, as a set that is much
+    longer can't be alike; within these, two alike sets share one of the rarest signatures of either (the prefix), and only
+    such pairs are compared in full.
+    """
+    found = spot_fingerprints(docs, chain).filter("doc_id IS NOT NULL AND size(signatures) > 0").select("doc_id", "signatures")
+    sets = found.groupBy("signatures").agg(F.min("doc_id").alias("set_id"))
+    members = found.join(sets, "signatures").select("doc_id", "set_id")
+    posts = sets.select("set_id", F.size("signatures").alias("n"), F.explode("signatures").alias("signature"))
+    counts = posts.groupBy("signature").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    shared = posts.join(counts, "signature").groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "signature"))).alias("list"))
+    # signatures that no other set has come first in the prefix of n - ceil(alike * n) + 1
+    kept = F.col("n") - F.ceil(F.col("n") * alike - 1e-9) + 1 - (F.col("n") - F.size("list"))
+    length = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / alike)))
+    prefix = shared.filter(kept > 0).select("set_id", "n", length.alias("class"), F.explode(F.slice("list", F.lit(1), kept.cast("int"))).alias("p"))
+    prefix = prefix.select("set_id", "n", "class", "p.signature")
+    shorter = prefix.select(F.col("set_id").alias("a"), F.col("n").alias("m"), F.explode(F.array("class", F.col("class") + 1)).alias("class"), "signature")
+    pairs = shorter.join(prefix.withColumnRenamed("set_id", "b"), ["signature", "class"])
+    pairs = pairs.filter((F.col("m") >= F.col("n") * alike - 1e-9) & ((F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    pairs = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("signatures").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("signatures").alias("y")), "b")
+    pairs = pairs.withColumn("similarity", likeness(F.col("x"), F.col("y"))).filter(F.col("similarity") >= alike)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"), members
+
+
 def with_next(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, text, signatures of each row, and as next_text, next_signatures those of the next row in descending doc_id.
 

@@ -385,6 +385,34 @@ def test_fingerprint_query(spark):
     assert middle > 0.35 and sum(r.near_next for r in got) / len(got) < 0.1
 
 
+def test_spot_links(spark):
+    rng = random.Random(6)
+    rows = []
+    for family in range(8):
+        base = [rng.choice(["the", "of", "and"]) if i % 4 == 0 else "f%dw%d" % (family, i) for i in range(rng.choice([12, 60, 200]))]
+        for copy in range(6):
+            w = list(base)
+            for _ in range(copy // 2 * (len(w) // 60)):
+                w[rng.randrange(len(w))] = "e%d" % rng.randrange(10**6)
+            rows.append((len(rows) * 7 % 101 + 200 * family, " ".join(w[: len(w) - copy // 4])))
+    df = docs(spark, rows + ODD)
+    pairs, members = spots.spot_links(df)
+    ids = {r.doc_id: r.set_id for r in members.collect()}
+    sets = {i: frozenset(brute_signatures(t)) for i, t in rows + [x for x in ODD if x[0] is not None and x[1] and x[1].strip()]}
+    least = {}
+    for i, x in sets.items():
+        least[x] = min(least.get(x, i), i)
+    assert ids == {i: least[x] for i, x in sets.items()}
+    expect = {}
+    for x, i in least.items():
+        for y, j in least.items():
+            if i < j and len(x & y) >= 0.8 * len(x | y):
+                expect[i, j] = len(x & y) / len(x | y)
+    got = {(r.a, r.b): r.similarity for r in pairs.collect()}
+    assert got.keys() == expect.keys() and len(got) > 5 and all(got[k] == pytest.approx(expect[k]) for k in got)
+    assert all(x.count() == 0 for x in spots.spot_links(docs(spark, [])))
+
+
 def test_one_document_follows_itself(spark):
     r = spots.with_next(docs(spark, [(1, "the cat sat down")])).first()
     assert (r.text, r.next_text) == ("the cat sat down", "the cat sat down")
