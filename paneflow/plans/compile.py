@@ -25,7 +25,7 @@ def _keyed(packets: DataFrame, query: TelemetryQuery, spec: WindowSpec) -> DataF
     """The packets that count, in panes, with the key, the sums' values and the elements."""
     timed = with_panes(packets.filter(query.where), spec, clock(packets))
     columns = [F.expr(e).alias(k) for k, e in query.key] + [F.expr(e).cast("long").alias(m) for m, e in query.sums]
-    return timed.select("pane", "closed", *columns, *(F.col(c).alias(f"element_{c}") for c in query.elements))
+    return timed.select("pane", "closed", *columns, *(F.col(c).alias(f"element_{c}") for c in query.elements)).na.drop()
 
 
 def _elements(query: TelemetryQuery) -> list[str]:

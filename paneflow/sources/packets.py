@@ -22,11 +22,16 @@ PACKETS = T.StructType(
 )
 
 
-def as_packets(df: DataFrame) -> DataFrame:
-    """The packet columns of df in their types; rows that lack one of them are left out (the model knows no NULL)."""
+def as_packets(df: DataFrame, complete: bool = True) -> DataFrame:
+    """The packet columns of df in their types.
+
+    The model knows no NULL. complete: rows that lack any of the columns are left out, which reads them all; otherwise each
+    query leaves out the rows that lack what it needs, and reads only that.
+    """
     if missing := [f.name for f in PACKETS if f.name not in df.columns]:
         raise ValueError(f"not packets, these columns are missing: {', '.join(missing)}")
-    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in PACKETS)).na.drop()
+    packets = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in PACKETS))
+    return packets.na.drop() if complete else packets
 
 
 def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +52,8 @@ def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(e % 10 == 9, 17).otherwise(6).alias("proto"),
             flag.alias("tcp_flag"),
             (40 + F.floor("value") % 8).alias("size"),
-        )
+        ),
+        complete=False,
     )
 
 

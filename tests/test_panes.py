@@ -187,3 +187,20 @@ def test_empty_input_and_unknown_mechanism(spark):
         assert run(spark, [], DDOS, m) == {}
     with pytest.raises(ValueError):
         plans.run(frame(spark, []), DDOS, SPEC, "weekly")
+
+
+def test_packets_that_lack_what_a_query_needs_are_left_out(spark):
+    rows = [packet(0, 0), packet(1, 1), packet(900 * MS, 9)]
+    df = frame(spark, rows)
+    lacking = df.selectExpr("us", "seq", "src_ip", "CASE WHEN seq <> 1 THEN dst_ip END AS dst_ip", "src_port", "dst_port", "proto", "tcp_flag", "CASE WHEN seq <> 0 THEN size END AS size")
+    assert [(r.win, r.conns) for r in plans.run(lacking, CONNS, SPEC, "itw").collect()] == [(0, 1)]
+    assert not plans.run(lacking, library.slowloris(1, 0.0), SPEC, "isw").collect()
+
+
+def test_a_query_reads_only_its_columns(spark):
+    from paneflow import catalog
+
+    plan = catalog.queries()["ddos_isw"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    reads = [x.split("ReadSchema: ")[1].split("\n")[0] for x in plan.split("FileScan")[1:]]
+    assert reads and all("event_type" not in x and "value" not in x for x in reads)
+    assert "CartesianProduct" not in plan
