@@ -27,7 +27,7 @@ DEPTH = 4
 #: Tokens that a worker gathers before it packs them.
 BLOCK_TOKENS = 1 << 21
 #: Different chunks between spaces, and words, whose ids a worker keeps: twice as many at most.
-CACHED = 400_000
+CACHED = 500_000
 
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -35,30 +35,30 @@ _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, se
 class Recent(dict):
     """A bounded dictionary of two generations: when it is full its content becomes the old one, which is looked up last.
 
-    Looking up a key that neither has gives None and notes the key in `new`.
+    Looking up a key that neither has gives an empty bytearray, which is filled when its value is learned.
     """
 
     def __init__(self, size: int):
         super().__init__()
-        self.size, self.old, self.new = size, {}, set()
+        self.size, self.old, self.holes = size, {}, {}
 
-    def __missing__(self, key: str) -> bytes | None:
-        if (value := self.old.get(key)) is None:  # so an empty value is kept too
-            self.new.add(key)
-        else:
-            self[key] = value
+    def __missing__(self, key: str) -> bytes | bytearray:
+        if (value := self.old.get(key)) is None:
+            value = self.holes[key] = bytearray()
+        self[key] = value
         return value
 
-    def look_up(self, keys: list[list[str]], learn: Callable[[list[str]], Iterable[tuple[str, bytes]]]) -> list[list[bytes]]:
+    def look_up(self, keys: list[list[str]], learn: Callable[[list[str]], Iterable[tuple[str, bytes]]]) -> list[list[bytes | bytearray]]:
         """The values of some lists of keys; learn gives those of new keys."""
         if len(self) > self.size:
             self.old = self.copy()
             self.clear()
         out = [list(map(self.__getitem__, x)) for x in keys]
-        if self.new:
-            new, self.new = list(self.new), set()
-            self.update(learn(new))
-            out = [[self[k] if v is None else v for k, v in zip(x, y)] for x, y in zip(keys, out)]
+        if self.holes:
+            holes, self.holes = self.holes, {}
+            for key, value in learn(list(holes)):
+                holes[key] += value
+                self[key] = value
         return out
 
 
@@ -101,7 +101,7 @@ class Encoder:
     def _learn_chunks(self, new: list[str]) -> Iterable[tuple[str, bytes]]:
         plain = [c for c in new if (c.isascii() or self._PLAIN.fullmatch(c)) and "<|" not in c and c.isprintable()]
         words = self._WORD.findall(" ".join(plain).lower())
-        cut = np.fromiter((w == " " for w in words), bool, len(words))  # a space ends a chunk
+        cut = [i for i, w in enumerate(words) if w == " "]  # a space ends a chunk
         self.words[" "] = b""
         ids = self.words.look_up([words], self._learn_words)[0]
         raw = b"".join(ids)
