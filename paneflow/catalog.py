@@ -215,7 +215,7 @@ def lookup_vs_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sliding_cm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _panes(spark, sf_dir)
-    return sketches.rotating_counters(rows, ["dst_ip"], "size", 2, 257, PLAIN.panes).filter("win < 100")
+    return sketches.rotating_counters(rows, ["dst_ip"], "size", 2, 257, PLAIN.panes)
 
 
 def drifting(spark: SparkSession, sf_dir: str) -> DataFrame:

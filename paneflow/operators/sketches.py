@@ -252,13 +252,17 @@ def rotating_counters(df: DataFrame, keys: list[str], value: str, depth: int, wi
 
     With each pane a share of 1 / panes of the cells of every row is aged in turn: the old copy takes the new one's value, and
     the new one starts at 0. A query adds both, so it covers between one and two windows; cell pos is aged at the end of
-    pane p where p % panes is pos * panes div width.
+    pane p where p % panes is pos * panes div width. Where df has `closed`, the number of closed panes, windows end with the
+    last of them.
     """
-    cells = count_min(df, keys, value, depth, width, ["pane"])
+    bounded = "closed" in df.columns
+    cells = count_min(df, keys, value, depth, width, ["pane", "closed"] if bounded else ["pane"])
     turn = F.expr(f"pos * {panes} div {width}")
     aged = cells.withColumn("turn", turn)
     # last ageing at or before the end of window w: l = w - (w - turn) mod panes; panes from l - panes + 1 to w still count
-    wins = F.explode(F.sequence(F.col("pane"), F.col("pane") + (2 * panes - 1))).alias("win")
+    last = F.col("pane") + (2 * panes - 1)
+    last = F.least(last, F.col("closed") - 1) if bounded else last
+    wins = F.explode(F.sequence(F.col("pane"), last)).alias("win")
     spread = aged.select("pane", "row", "pos", "val", "turn", wins)
     start = F.col("win") - F.pmod(F.col("win") - F.col("turn"), F.lit(panes)) - (panes - 1)
     return spread.filter(F.col("pane") >= start).groupBy("win", "row", "pos").agg(F.sum("val").alias("val"))
