@@ -97,10 +97,13 @@ def topk_hotkeys(spark, sf_dir):
 
 
 def pinned_hotkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets of the first window by destination and port, with a row for every hot key."""
-    hot = truth.hot_keys(event_packets(spark, sf_dir), ["src_ip", "dst_port"], 25)
-    counts = _windows(spark, sf_dir).filter("win = 0").groupBy("src_ip", "dst_port").agg(F.count(F.lit(1)).alias("packets"))
-    return truth.pinned(counts, hot, ["src_ip", "dst_port"], ["packets"])
+    """Packets of each closed window by source and port, with a row for every hot key in every window, empty ones too."""
+    keys = ["src_ip", "dst_port"]
+    hot = truth.hot_keys(event_packets(spark, sf_dir), keys, 25)
+    rows = with_panes(event_packets(spark, sf_dir), PLAIN.whole()).withColumnRenamed("pane", "win")
+    windows = rows.agg(F.max("closed").alias("closed")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("closed") - 1)).alias("win"))
+    counts = rows.groupBy("win", *keys).agg(F.count(F.lit(1)).alias("packets"))
+    return truth.pinned(counts, hot, keys, ["packets"], windows)
 
 
 def quantile_vals(spark, sf_dir):

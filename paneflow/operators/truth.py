@@ -80,7 +80,11 @@ def lost_packets(sent: DataFrame, received: DataFrame, keys: list[str]) -> DataF
     return sent.join(received.select(*keys), keys, "left_anti")
 
 
-def pinned(counts: DataFrame, hot: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
-    """counts with a row for every hot key, at 0 where it has none."""
-    full = counts.join(hot.select(*keys).distinct(), keys, "full")
-    return full.select(*keys, *(F.coalesce(m, F.lit(0)).alias(m) for m in measures))
+def pinned(counts: DataFrame, hot: DataFrame, keys: list[str], measures: list[str], windows: DataFrame | None = None) -> DataFrame:
+    """counts with a row for every hot key, at 0 where it has none; in each of windows, if given, by its columns."""
+    by = windows.columns if windows is not None else []
+    rows = hot.select(*keys).distinct()
+    if windows is not None:
+        rows = windows.distinct().crossJoin(rows)
+    full = counts.join(rows, [*by, *keys], "full")
+    return full.select(*by, *keys, *(F.coalesce(m, F.lit(0)).alias(m) for m in measures))

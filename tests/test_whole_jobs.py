@@ -38,3 +38,20 @@ def test_sliding_cm_reports_every_closed_pane(spark):
     got = {(r.win, r.row, r.pos): r.val for r in catalog.sliding_cm(spark, SF).collect()}
     assert closed > 100 and max(w for w, _, _ in got) == closed - 1
     assert got == expect
+
+
+def test_hot_keys_are_pinned_in_every_closed_window(spark):
+    rows = packets()
+    first, window = rows[0][0], catalog.PLAIN.window
+    closed = (rows[-1][0] - first) // window
+    whole, expect = defaultdict(int), defaultdict(int)
+    for us, _, src, _, port, _ in rows:
+        whole[src, port] += 1
+        if (w := (us - first) // window) < closed:
+            expect[w, src, port] += 1
+    hot = sorted(whole, key=lambda k: (-whole[k], k))[:25]
+    for w in range(closed):
+        for k in hot:
+            expect[w, *k] += 0
+    got = [((r.win, r.src_ip, r.dst_port), r.packets) for r in catalog.pinned_hotkeys(spark, SF).collect()]
+    assert closed > 1 and len(got) == len(dict(got)) and dict(got) == expect and 0 in expect.values()
