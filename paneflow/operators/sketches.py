@@ -244,6 +244,20 @@ def peel(cells: DataFrame, ident: str, size: int, hashes: int) -> tuple[DataFram
         cells = cut(subtract(cells, digest(taken, ident, size, hashes)))
 
 
+def lost_ids(sent: DataFrame, received: DataFrame, ident: str, size: int, hashes: int) -> DataFrame:
+    """All packets of sent that received, a part of it, lacks: decoded from digests of both, of at least `size` cells.
+
+    What is lost is counted first, and the digest has half as many cells again. Should cells be left over all the same, as
+    when ids repeat, the rows are compared themselves.
+    """
+    lost = sent.count() - received.count()
+    size = max(size, -(-lost * 3 // (2 * hashes)) * hashes)
+    found, left = peel(subtract(digest(sent, ident, size, hashes), digest(received, ident, size, hashes)), ident, size, hashes)
+    if left.isEmpty():
+        return found
+    return sent.select(ident).join(received.select(ident), ident, "left_anti")
+
+
 # ---- sliding sketches
 
 

@@ -7,6 +7,7 @@ import numpy as np
 
 from paneflow import catalog
 from paneflow.functions import hashing
+from paneflow.operators import sketches
 from paneflow.sources.packets import PACKETS_SQL
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +56,20 @@ def test_hot_keys_are_pinned_in_every_closed_window(spark):
             expect[w, *k] += 0
     got = [((r.win, r.src_ip, r.dst_port), r.packets) for r in catalog.pinned_hotkeys(spark, SF).collect()]
     assert closed > 1 and len(got) == len(dict(got)) and dict(got) == expect and 0 in expect.values()
+
+
+def test_digest_is_as_large_as_the_loss(spark, tmp_path):
+    n = 1_200_000  # loses 12,372 packets, more than 12,288 cells can tell apart
+    events = spark.range(n).selectExpr(
+        "id AS event_id", "CAST(timestamp_micros(1704067200000000 + id * 1000000) AS timestamp_ntz) AS ts", "id % 50 AS user_id",
+        "'click' AS event_type", "1.0D AS value", "'{\"k\": 7}' AS props",
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = [r.seq for r in catalog.ibf_decode(spark, str(tmp_path)).collect()]
+    assert sorted(got) == list(range(0, n, 97))
+
+
+def test_cells_left_over_are_looked_up(spark):
+    twice = spark.createDataFrame([(i // 2,) for i in range(40)], "seq long")  # two rows of an id never make a cell of one
+    got = [r.seq for r in sketches.lost_ids(twice, twice.filter("seq > 3"), "seq", 400, 4).collect()]
+    assert sorted(got) == [0, 0, 1, 1, 2, 2, 3, 3]
