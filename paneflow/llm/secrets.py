@@ -21,7 +21,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMES = ("passw", "secret", "token", "api")
 #: Candidates of the randomness tests: as long as this at least.
 LEAST = 20
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+# In the letters of base64 and of base64url, with padding at the end only: `=` between a name and a value parts them.
+_CANDIDATES = [re.compile(r"[A-Za-z0-9%s]{%d,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?" % (more, LEAST)) for more in ("+/", "_-")]
 # Alphabets in the order in which an encoding is inferred.
 _ALPHABETS = (
     ("hex", "0123456789abcdef"),
@@ -94,11 +95,13 @@ def randomness(token: str) -> float:
     if len(codes) < LEAST:
         return 0.0
     tests = [uniformity(codes, len(places)), runs_test(codes, len(places)), serial_test(codes)]
-    if name not in ("hex", "HEX", "base32"):  # kinds of letters follow one another at random too
-        kinds = np.array([c.isdigit() + 2 * c.isupper() for c in token.rstrip("=")])
-        digits, upper = (kinds == 1).mean(), (kinds == 2).mean()
-        for share, wanted in ((digits, 10 / len(places)), (upper, 26 / len(places))):
-            tests.append(_normal_tail((share - wanted) * math.sqrt(len(codes) / (wanted * (1 - wanted)))))
+    # kinds of letters follow one another at random too
+    kinds = np.array([c.isdigit() + 2 * c.isupper() for c in token.rstrip("=")])
+    shares = [((kinds == 1).mean(), sum(c.isdigit() for c in places) / len(places))]
+    if name not in ("hex", "HEX", "base32"):
+        shares.append(((kinds == 2).mean(), 26 / len(places)))
+    for share, wanted in shares:
+        tests.append(_normal_tail((share - wanted) * math.sqrt(len(codes) / (wanted * (1 - wanted)))))
     return min(1.0, min(tests) * len(tests))
 
 
@@ -120,17 +123,16 @@ def rejected(p: list[float], lengths: list[int], rate: float = RATE) -> list[boo
     return out.tolist()
 
 
-def _plausible(token: str) -> bool:
-    """Whether the tests have something to say: letters and digits mixed, as words and numbers are not."""
-    body = token.rstrip("=")
-    return sum(c.isdigit() for c in body) >= 2 and sum(c.isalpha() for c in body) >= 2
+def _candidates(text: str) -> list[tuple[int, int]]:
+    """Spans of what the tests look at: runs of base64's and of base64url's letters, each span once."""
+    return sorted({m.span() for pattern in _CANDIDATES for m in pattern.finditer(text)})
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text in code points, by start and then kind as listed.
 
-    The three fixed kinds are found as their patterns say. Other long tokens of letters and digits, outside those spans,
-    are tested for randomness, and kept as kind `random` unless the tests reject that.
+    The three fixed kinds are found as their patterns say. Other long tokens of an encoding's letters, outside those spans,
+    are tested for randomness, and kept as kind `random` unless the tests reject that; one within another kept one is left out.
     """
     spans = []
     low = text.lower()
@@ -139,12 +141,15 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    candidates = [m for m in _CANDIDATE.finditer(text) if _plausible(m[0])]
-    candidates = [m for m in candidates if not any(a < m.end() and m.start() < b for _, a, b in spans)]
-    tokens = [m[0] for m in candidates]
-    for m, bad in zip(candidates, rejected([randomness(x) for x in tokens], [len(x) for x in tokens])):
-        if not bad:
-            spans.append(("random", *m.span()))
+    found = [(a, b) for a, b in _candidates(text) if not any(x < b and a < y for _, x, y in spans)]
+    tokens = [text[a:b] for a, b in found]
+    bad = rejected([randomness(x) for x in tokens], [len(x) for x in tokens])
+    kept = [x for x, no in zip(found, bad) if not no]
+    upto = -1
+    for a, b in sorted(kept, key=lambda x: (x[0], -x[1])):
+        if b > upto:
+            spans.append(("random", a, b))
+            upto = b
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

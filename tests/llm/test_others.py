@@ -552,3 +552,20 @@ def test_sql_of_mixing_and_search(spark):
         con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     assert sorted(map(tuple, mixing.op6_mixing(spark, SF).collect())) == sorted(con.execute(mixing.OP6_SQL).fetchall())
     assert sorted(map(tuple, topk.op1_top_k(spark, SF).collect())) == sorted(con.execute(topk.OP1_SQL).fetchall())
+
+
+def test_random_tokens_of_few_digits_and_after_names():
+    rng = random.Random(11)
+    letters = secrets._ALPHABETS[3][1]
+
+    def share(before, wanted=lambda t: True):
+        tokens = [t for _ in range(600) if wanted(t := "".join(rng.choice(letters) for _ in range(rng.choice((20, 32)))))]
+        return sum(any(k == "random" for k, _, _ in secrets.find_secrets(f"see {before}{t} here")) for t in tokens) / len(tokens)
+
+    assert share("", lambda t: sum(c.isdigit() for c in t) < 2) > 0.5
+    assert min(share(x) for x in ("auth=", "private_key=", "access_key=", "x?a=1&sig=")) > 0.9
+    key = "".join(rng.choice(letters) for _ in range(31)) + "Q=="
+    assert [(a, b) for _, a, b in secrets.find_secrets(f"auth={key} end")] == [(5, 5 + len(key))]  # padding belongs to it
+    assert [k for k, _, _ in secrets.find_secrets("see path_to/" + key[:-2] + " end")] == ["random"]
+    words = ["12345678901234567890", "98273645102938475610", "INTERNATIONALISATION", "counterrevolutionaries", "path/to/some/file/name/with/words", "-" * 40, "=" * 40]
+    assert not [x for x in words if secrets.find_secrets(f"see {x} here")]
