@@ -23,7 +23,7 @@ MOST_LANGUAGES = 200
 FEATURES = 1 << 15
 #: Words of one chain; longer texts are cut into chains of this length.
 CHAIN = 128
-#: Longer words (keys, markup, codes) say nothing of a language.
+#: Letters of one position of a chain at most: longer words, as scripts without spaces have, are several positions.
 LONGEST_WORD = 64
 #: Most frequent words of each language's sample that make its lexicon.
 LEXICON = 300
@@ -44,6 +44,21 @@ def _core(word: str) -> str:
     return word[letters[0] : letters[-1] + 1].lower() if letters else ""
 
 
+def _words(text: str) -> list[str]:
+    """The words of a text; those over LONGEST_WORD as pieces of their cores."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST_WORD:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= LONGEST_WORD:
+            out.append(w)
+        else:
+            core = _core(w)
+            out += [core[i : i + LONGEST_WORD] for i in range(0, len(core), LONGEST_WORD)]
+    return out
+
+
 _KIND = np.random.default_rng(11).integers(1, 2**63, 16, dtype=np.uint64)  # one fixed number for each kind of feature
 
 
@@ -80,9 +95,7 @@ def features(cores: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
         where, value = (np.array(x, np.uint64) for x in zip(*((i, v) for i, found, own in listed for v in (own, *(1 << 40 | n for n in range(found.bit_length()) if found >> n & 1)))))
         out.append(_feature(10, value))
         owner.append(where.astype(np.int64))
-    out, owner = np.concatenate(out), np.concatenate(owner)
-    short = size[owner] <= LONGEST_WORD
-    return out[short], owner[short]
+    return np.concatenate(out), np.concatenate(owner)
 
 
 @dataclass
@@ -138,7 +151,7 @@ def fit(samples: list[tuple[str, str]], rounds: int = 8, seed: int = 5) -> Model
     """
     languages = sorted({x for x, _ in samples})
     index = {x: i for i, x in enumerate(languages)}
-    texts = [(index[x], [c for w in text.split() if (c := _core(w))]) for x, text in samples]
+    texts = [(index[x], [c for w in _words(text) if (c := _core(w))]) for x, text in samples]
     texts = [x for x in texts if x[1]]
     counts: list[dict[str, int]] = [{} for _ in languages]
     for label, words in texts:
@@ -247,7 +260,7 @@ class Labeller:
         sums = np.zeros((len(texts), len(languages)))
         words, counts, first = [], [], 0
         for i, text in enumerate(texts):
-            mine = (text or "").split()
+            mine = _words(text or "")
             words += mine
             counts.append(len(mine))
             if len(words) >= 1 << 17 or i + 1 == len(texts):

@@ -569,3 +569,16 @@ def test_random_tokens_of_few_digits_and_after_names():
     assert [k for k, _, _ in secrets.find_secrets("see path_to/" + key[:-2] + " end")] == ["random"]
     words = ["12345678901234567890", "98273645102938475610", "INTERNATIONALISATION", "counterrevolutionaries", "path/to/some/file/name/with/words", "-" * 40, "=" * 40]
     assert not [x for x in words if secrets.find_secrets(f"see {x} here")]
+
+
+def test_scripts_without_spaces_are_labelled(spark):
+    rng = random.Random(4)
+    scripts = {"zh": range(0x4E00, 0x4E60), "ja": [*range(0x3042, 0x3090), *range(0x4E30, 0x4E50)], "th": range(0x0E01, 0x0E2F)}
+    rows = [(f"{lang}", "".join(chr(rng.choice(letters)) for _ in range(rng.randrange(65, 1500)))) for _ in range(40) for lang, letters in scripts.items()]
+    df = docs(spark, [(i, text, lang) for i, (lang, text) in enumerate(rows)])
+    got = {r.doc_id: r for r in languages.identify_languages(df).collect()}
+    held = [r for r in got.values() if r.held_out]
+    assert len(held) > 10 and all(r.lang_pred == rows[r.doc_id][0] and r.score > 0.8 for r in held)
+    assert languages.keep_identified(df, least=0.4).count() == len(rows)
+    late = "1" * 300 + "a" * 64 + "b"  # letters count wherever they stand in a long word
+    assert "".join(languages._words(late)).endswith("b") and max(map(len, languages._words(late))) <= languages.LONGEST_WORD
