@@ -10,15 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, tidy
+from .common import table, tidy
 
 UNKNOWN = "und"
 #: Documents of each language that the model is fitted on at most, one for each value of a hash.
 PER_LANGUAGE = 400
 #: Characters taken from each of them, from a place that its hash gives.
 SAMPLE_CHARS = 400
-#: Most languages: the rest, those with the fewest documents, aren't learned.
-MOST_LANGUAGES = 200
 #: Hashed features.
 FEATURES = 1 << 15
 #: Words of one chain; longer texts are cut into chains of this length.
@@ -27,8 +25,9 @@ CHAIN = 128
 LONGEST_WORD = 64
 #: Most frequent words of each language's sample that make its lexicon.
 LEXICON = 300
-#: Different words whose features a worker keeps.
-CACHED = 300_000
+#: Different words whose scores a worker keeps, and chains that it labels at once; fewer where languages are more than MANY.
+CACHED, AT_ONCE = 300_000, 1024
+MANY = 200
 
 
 def held_out(doc_id: Column) -> Column:
@@ -219,10 +218,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     place = F.greatest(F.lit(1), (mark % F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int"))
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", (mark % per_language).alias("slot"), mark.alias("mark"), F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("part"))
-    sums = rows.groupBy("lang", "slot").agg(F.min(F.struct("mark", "part")).alias("least"), F.count(F.lit(1)).alias("n"))
-    sums = cut(sums)
-    most = sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    found = sums.filter(F.col("lang").isin([x["lang"] for x in most])).select("lang", "slot", "least.part")
+    sums = rows.groupBy("lang", "slot").agg(F.min(F.struct("mark", "part")).alias("least"))
+    found = sums.select("lang", "slot", "least.part")
     samples = [(x["lang"], x["part"]) for x in sorted(found.collect(), key=lambda x: (x["lang"], x["slot"]))]
     samples = [(lang, part) for lang, part in samples if any(c.isalpha() for c in part)]
     return fit(samples) if samples else None
@@ -234,13 +231,15 @@ class Labeller:
     def __init__(self, model: Model):
         self.model = model
         self.place: dict[str, int] = {}
-        self.scores = np.zeros((CACHED, len(model.languages)), np.float32)
+        share = min(1.0, MANY / len(model.languages))
+        self.cached, self.at_once = int(CACHED * share), max(1, int(AT_ONCE * share))
+        self.scores = np.zeros((self.cached, len(model.languages)), np.float32)
         self.used = 0
 
     def _look_up(self, words: list[str]) -> np.ndarray:
         """A row of the scores for each word, -1 for words without a letter."""
         new = [w for w in {*words} if w not in self.place]
-        if len(self.place) + len(new) > CACHED:
+        if len(self.place) + len(new) > self.cached:
             self.place, self.used = {}, 0
             new = list({*words})
             if len(new) > len(self.scores):
@@ -283,8 +282,8 @@ class Labeller:
         head = np.flatnonzero(time == 0)
         lengths = np.diff(head, append=len(row))
         order = np.argsort(-lengths, kind="stable")
-        for at in range(0, len(order), 1024):
-            part = order[at : at + 1024]
+        for at in range(0, len(order), self.at_once):
+            part = order[at : at + self.at_once]
             n = lengths[part]
             chain = np.repeat(np.arange(len(part)), n)
             step = np.arange(len(chain)) - np.repeat(np.cumsum(n) - n, n)

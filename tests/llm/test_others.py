@@ -582,3 +582,10 @@ def test_scripts_without_spaces_are_labelled(spark):
     assert languages.keep_identified(df, least=0.4).count() == len(rows)
     late = "1" * 300 + "a" * 64 + "b"  # letters count wherever they stand in a long word
     assert "".join(languages._words(late)).endswith("b") and max(map(len, languages._words(late))) <= languages.LONGEST_WORD
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i * 20 + j, f"word{chr(0x4E00 + i)} {chr(0x4E00 + i)} text", f"l{i:03}") for i in range(205) for j in range(3)]
+    df = docs(spark, rows)
+    assert languages.learn(df).languages == [f"l{i:03}" for i in range(205)]
+    assert languages.identify_languages(df.limit(10)).count() == 10
