@@ -27,8 +27,8 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The distinct signatures of a text as sorted 32-bit hashes.
 
     Letters and digits in lower case make words. After each anchor, and from the start of the text, the next `chain`
-    content words (those that are no anchors) are a signature; near the end of the text it may be shorter. A null text
-    or one without content words has none.
+    content words (those that are no anchors) are a signature; near the end of the text, or where REACH anchors come before its
+    last word, it may be shorter. A null text or one without content words has none.
     """
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     marked = F.regexp_replace(plain, f" (?:{'|'.join(sorted(set(ANCHORS)))})(?= )", "\x01")
