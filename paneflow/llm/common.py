@@ -6,14 +6,16 @@ import contextlib
 import ctypes
 import gc
 import inspect
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import lineage
+
 #: The six ASCII white-space bytes that separate words: space, and \t \n \v \f \r.
 WHITE = b"\t\n\x0b\x0c\r "
 _IS_WHITE = np.zeros(256, dtype=bool)
@@ -30,13 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, in the folder that the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paneflow-checkpoint-"))  # tests: one machine
-    out = df.checkpoint()
+    """df with its lineage cut by a reliable checkpoint, after which shuffle files that nothing refers to any more are freed."""
+    out = lineage.cut(df)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files that nothing refers to any more are freed
+    df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
@@ -66,6 +65,35 @@ def text_volume(docs: DataFrame) -> tuple[int, int]:
     return int(row["n"]), int(row["b"] or 0)
 
 
+def portions(batches, limit: int = 4 << 20):
+    """The rows in batches of about `limit` characters of text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
+        for a, b in groups_of(sizes, limit):
+            yield batch.slice(a, b - a)
+
+
+#: Bits of the filter that tells most rows that a join will not want: 4 MB, whatever the data.
+FILTER_BITS = 1 << 25
+
+
+def filter_place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def filter_bits(keys: DataFrame, key: str) -> np.ndarray:
+    """The bits at the places of the keys. A place may be another key's as well, so the rows that pass still have to be joined."""
+    at = keys.select(filter_place(F.col(key)).alias("at")).select(F.expr("at div 32768").alias("part"), F.expr("at % 32768").alias("at"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in at.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect():  # FILTER_BITS in all at most
+        out[row["part"] * 4096 : (row["part"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
     if len(_powers[0]) < n:

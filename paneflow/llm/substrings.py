@@ -4,27 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spans_hash, table, tidy, word_hashes
-from .repeats import Words, covered, portions, repeated_windows
+from .common import portions, spans_hash, table, tidy, word_hashes
+from .repeats import Words, bytes_of, covered, occurrences, parted, repeated_windows
 
 WINDOW = 35
 MINIMISER = 12
 
 
-def _settle(where: list, ids: list) -> tuple[list, list]:
-    """A string that occurs twice in a batch is a repeat wherever it occurs; once is for the bucket to decide."""
-    return (where, []) if len(where) > 1 else ([], where)
-
-
-def _whole(k: int):
-    def whole(string: bytes, where: list) -> tuple[int, list]:
-        times = sum(2 if many else 1 for *_, many in where)
-        return string.count(b" ") + 2 - k, [x for x in where if times > 1 and not x[3]]
-
-    return whole
+def _settle(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A string that occurs twice in a batch is a repeat wherever it occurs, and one row tells so; once is for the bucket to decide."""
+    many = np.bincount(code)[code] > 1 if len(code) else np.zeros(0, bool)
+    travel = ~many
+    travel[np.unique(code, return_index=True)[1]] = True
+    return many, travel, many
 
 
 def _same_windows(text: bytes, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, hashes: np.ndarray, k: int) -> np.ndarray:
@@ -48,26 +44,23 @@ def _same_windows(text: bytes, starts: np.ndarray, ends: np.ndarray, at: np.ndar
 
 
 def _resolver(k: int):
-    def resolve(strings: dict) -> dict:
-        keys = list(strings)
-        text = b"\n".join(keys)
+    """Sorts the windows of the strings by hash and compares them in full: what is there twice goes."""
+
+    def resolve(strings: pa.Array, code: np.ndarray, doc: np.ndarray, start: np.ndarray, tells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        text = parted(*bytes_of(strings), 0x20).tobytes()
+        offsets = np.concatenate(([0], np.cumsum(pc.binary_length(strings).to_numpy(zero_copy_only=False) + 1)))
         starts, ends, words = word_hashes(text)
-        offsets = np.concatenate(([0], np.cumsum([len(x) + 1 for x in keys])))
         edges = np.searchsorted(starts, offsets)
         count = np.diff(edges) - k + 1
-        string = np.repeat(np.arange(len(keys)), count)
-        at = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count) + edges[string]
+        string = np.repeat(np.arange(len(strings)), count)
+        window = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
+        at = window + edges[string]
         labels = _same_windows(text, starts, ends, at, spans_hash(words, at, at + k), k)
-        weight = np.array([sum(2 if many else 1 for *_, many in x) for x in strings.values()])
-        repeats = np.bincount(labels, weight[string])[labels] > 1
-        out: dict = {}
-        for i, first in zip(*(x.tolist() for x in (string[repeats], (at - edges[string])[repeats]))):
-            for doc, rid, start, many in strings[keys[i]]:
-                if not many:
-                    a, b = out.setdefault((rid, doc), ([], []))
-                    a.append(start + first)
-                    b.append(start + first + 1)
-        return out
+        weight = np.bincount(code, np.where(tells, 2, 1))
+        again = np.bincount(labels, weight[string])[labels] > 1
+        window = window[again]
+        which, rows = occurrences(code, np.flatnonzero(~tells), string[again])
+        return rows, start[rows] + window[which], start[rows] + window[which] + 1
 
     return resolve
 
@@ -91,7 +84,7 @@ def _keep(k: int):
     return run
 
 
-def remove_repeated_words(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, hot_batches: int | None = None) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, hot_strings: int | None = None) -> DataFrame:
     """Removes each word that a window of `window` words covers whose words also start anywhere else.
 
     docs needs doc_id and text; other columns are not read, so their names may clash with anything. Returns a row for
@@ -100,8 +93,8 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, minimiser: int
     every word that a window covers, as the windows start elsewhere too. A row with a null doc_id takes no part: it
     keeps its words and is not compared. An empty table gives an empty table.
     """
-    more = {} if hot_batches is None else {"hot_batches": hot_batches}
-    found = repeated_windows(docs, Words, window, min(minimiser, window), _settle, _whole(window), _resolver(window), first_stays=False, **more)
+    more = {} if hot_strings is None else {"hot_strings": hot_strings}
+    found = repeated_windows(docs, Words, window, min(minimiser, window), _settle, _resolver(window), first_stays=False, **more)
     return found.select("text", "doc", "found").mapInArrow(tidy(_keep(window)), "doc_id long, n_words long, n_removed long, text string")
 
 

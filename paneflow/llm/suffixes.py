@@ -8,8 +8,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tidy
-from .repeats import Bytes, covered, is_copy, portions, repeated_windows
+from .common import portions, table, tidy
+from .repeats import Bytes, bytes_of, covered, occurrences, parted, repeated_windows
 
 WINDOW = 50
 MINIMISER = 25
@@ -65,6 +65,8 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     out = []
     for c in range(256):
         larger = waiting[c]
+        if c and not larger and edges[c] == edges[c + 1]:
+            continue
         last = np.concatenate(larger) if larger else np.zeros(0, np.int64)
         larger = [last]
         while len(last):  # runs of one symbol
@@ -105,50 +107,42 @@ def common_prefixes(codes: np.ndarray, suffixes: np.ndarray, limit: int) -> np.n
     return np.minimum(out, limit)
 
 
-def _settle(where: list, ids: list) -> tuple[list, list]:
-    """Of the occurrences in a batch all but those in the smallest doc_id are settled."""
-    least = min(ids[d] for d, _, _ in where)
-    return [x for x in where if ids[x[0]] > least], [x for x in where if ids[x[0]] == least]
-
+def _least(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The smallest doc_id of each string number."""
+    out = np.full(int(code.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(out, code, doc)
+    return out
 
-def _whole(k: int):
-    def whole(string: bytes, where: list) -> tuple[int, list]:
-        least = min(doc for doc, *_ in where)
-        return len(string) - k + 1, [x for x in where if x[0] > least]
 
-    return whole
+def _settle(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the occurrences in a batch all but those in the smallest doc_id are settled."""
+    first = doc == _least(code, doc)[code]
+    return ~first, first, np.zeros(len(code), bool)
 
 
 def _resolver(k: int):
-    def resolve(strings: dict) -> dict:
-        keys = list(strings)
-        codes = np.frombuffer(b"\xff".join(keys) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
-        length = np.array([len(x) for x in keys])
-        offsets = np.concatenate(([0], np.cumsum(length + 1)))
-        least = np.array([min(doc for doc, *_ in x) for x in strings.values()])
+    """Sorts the suffixes of the strings: a window that a smaller document has as well goes."""
+
+    def resolve(strings: pa.Array, code: np.ndarray, doc: np.ndarray, start: np.ndarray, tells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, offsets = bytes_of(strings)
+        length = np.diff(offsets)
+        codes = parted(data + np.uint8(1), offsets, 0)  # UTF-8 has no byte 255
+        offsets = offsets[:-1] + np.arange(len(length))
+        least = _least(code, doc)
         order = suffix_array(codes, k)
         string = np.searchsorted(offsets, order, "right") - 1
         whole = order - offsets[string] + k <= length[string]
         order, string = order[whole], string[whole]
         head = np.flatnonzero(common_prefixes(codes, order, k) < k)
         first_doc = np.repeat(np.minimum.reduceat(least[string], head), np.diff(head, append=len(order)))
-        out: dict = {}
-
-        def put(rid, doc, a, b):
-            x, y = out.setdefault((rid, doc), ([], []))
-            x.append(a)
-            y.append(b)
-
-        for key, where, m in zip(keys, strings.values(), least.tolist()):
-            for doc, rid, start, _ in where:
-                if doc > m:
-                    put(rid, doc, start, start + len(key) - k + 1)
         later = first_doc < least[string]
-        for i, at in zip(string[later].tolist(), (order - offsets[string])[later].tolist()):
-            for doc, rid, start, _ in strings[keys[i]]:
-                if doc == least[i]:
-                    put(rid, doc, start + at, start + at + 1)
-        return out
+        window, string = (order - offsets[string])[later], string[later]
+        first = doc == least[code]
+        which, at = occurrences(code, np.flatnonzero(first), string)
+        greater = np.flatnonzero(~first)  # of these all windows go
+        rows = np.concatenate((greater, at))
+        a = np.concatenate((start[greater], start[at] + window[which]))
+        return rows, a, np.concatenate((start[greater] + length[code[greater]] - k + 1, start[at] + window[which] + 1))
 
     return resolve
 
@@ -157,9 +151,9 @@ def _keep(k: int):
     def run(batches):
         for batch in portions(batches):
             out = ([], [], [], [])
-            for text, doc, found, classes in zip(*(batch.column(c).to_pylist() for c in ("text", "doc", "found", "classes"))):
+            for text, doc, found, copies in zip(*(batch.column(c).to_pylist() for c in ("text", "doc", "found", "copies"))):
                 text = (text or "").encode()
-                copy = len(text) >= k and is_copy(text, doc, classes)
+                copy = len(text) >= k and doc is not None and doc in (copies or ())
                 gone = [[0, len(text)]] if copy else covered(found, doc, k).tolist()
                 parts, at = [], 0
                 for a, b in gone:
@@ -174,7 +168,7 @@ def _keep(k: int):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, hot_batches: int | None = None) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, hot_strings: int | None = None) -> DataFrame:
     """Removes each byte that a string of `window` bytes covers which also starts in a document with a smaller doc_id.
 
     docs needs doc_id and text; other columns are not read. Returns a row for each row: doc_id, n_bytes, n_removed,
@@ -182,9 +176,9 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, minimiser: int
     Repeats within a document, and rows that repeat both doc_id and text, are kept, as no doc_id is smaller. A row with
     a null doc_id takes no part: it keeps its bytes and is not compared. An empty table gives an empty table.
     """
-    more = {} if hot_batches is None else {"hot_batches": hot_batches}
-    found = repeated_windows(docs, Bytes, window, min(minimiser, window), _settle, _whole(window), _resolver(window), first_stays=True, **more)
-    return found.select("text", "doc", "found", "classes").mapInArrow(tidy(_keep(window)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    more = {} if hot_strings is None else {"hot_strings": hot_strings}
+    found = repeated_windows(docs, Bytes, window, min(minimiser, window), _settle, _resolver(window), first_stays=True, **more)
+    return found.select("text", "doc", "found", "copies").mapInArrow(tidy(_keep(window)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
