@@ -78,7 +78,7 @@ def brute_bytes(rows, k):
 def test_repeated_words(spark, seed, hot):
     rows = corpus(seed)
     df = frame(spark, rows).repartition(5)
-    got = substrings.remove_repeated_words(df, hot_batches=hot).collect()
+    got = substrings.remove_repeated_words(df, hot_strings=hot).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=str) == brute_words(rows, 35)
 
 
@@ -86,7 +86,7 @@ def test_repeated_words(spark, seed, hot):
 def test_repeated_bytes(spark, seed, hot):
     rows = corpus(seed, n=30, words=150)
     df = frame(spark, rows).repartition(5)
-    got = suffixes.remove_repeated_bytes(df, hot_batches=hot).collect()
+    got = suffixes.remove_repeated_bytes(df, hot_strings=hot).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=str) == brute_bytes(rows, 50)
 
 
@@ -240,6 +240,46 @@ def test_one_of_each_stays(spark):
     assert got == Counter({i: n if i is None else 1 for i, n in expect.items()})
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_merged_lists_connect_what_all_pairs_connect(seed, monkeypatch):
+    monkeypatch.setattr(minhash, "PAIRS", [5, 1 << 17][seed % 2])
+    rng = np.random.default_rng(seed)
+    n, coordinates, matches = 80, 12, 5
+    base = rng.integers(0, 6, (8, coordinates))
+    node = np.sort(rng.integers(0, 50, n))
+    signature = np.where(rng.random((50, coordinates)) < 0.5, base[rng.integers(0, 8, 50)], rng.integers(0, 9, (50, coordinates)))
+    values = signature[node].astype(np.uint16)
+    own = rng.integers(0, coordinates, n)
+    _, group = np.unique(np.stack([own, values[np.arange(n), own]], 1), axis=0, return_inverse=True)
+    root = rng.integers(0, 20, 50)
+    a, b = minhash.merge_lists(values, group.reshape(-1), own, root[node], node, lambda x, y: (node[x] + node[y]) % 7 > 0, matches)
+
+    def joined(pairs):
+        parent = list(range(20))
+
+        def top(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in pairs:
+            parent[top(root[x])] = top(root[y])
+        return {frozenset(y for y in range(20) if top(y) == top(x)) for x in range(20)}
+
+    same = lambda x, y: int((values[x] == values[y]).sum())
+    every = [(node[x], node[y]) for x in range(n) for y in range(x) if group.reshape(-1)[x] == group.reshape(-1)[y] and (node[x] + node[y]) % 7 > 0 and same(x, y) >= matches]
+    assert joined(zip(a.tolist(), b.tolist())) == joined(every)
+    assert {frozenset(x) for x in zip(a.tolist(), b.tolist())} <= {frozenset(map(int, x)) for x in every}
+
+
+def test_of_equal_ids_the_same_row_stays(spark):
+    rows = [(1, "the first text of this id"), (1, "the second text of this id"), (1, None), (2, "else"), (2, "else")]
+    df = frame(spark, rows)
+    got = [tuple(r) for r in minhash.keep_one_of_each(df).collect()]
+    again = [tuple(r) for r in minhash.keep_one_of_each(df.orderBy(F.desc("text")).repartition(3)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, again)) and sorted(r[0] for r in got) == [1, 2]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 240)]
