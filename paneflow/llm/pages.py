@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, tidy
+from .labelled import PAGES
 
 # Elements whose content is never text, elements that end a block of text, and elements without content.
 _SILENT = "script style noscript template svg math iframe object select textarea head title canvas audio video".split()
@@ -21,17 +22,19 @@ _BREAKS = set(
 )
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = {f"h{i}" for i in range(1, 7)}
-# Elements around an article, and words in class, id or role that tell what an element holds.
-_AROUND = set("nav footer aside form menu button dialog fieldset label legend".split())
+# Elements around an article; boxes that hold blocks; words in class, id or role that hint at what a box holds, and
+# words that say nothing beside them.
+_AROUND = set("nav footer aside menu button dialog fieldset label legend".split())
+_BOXES = _AROUND | set("article body div form header main section".split())
 _AROUND_WORDS = set(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs complementary consent cookie cookies copyright "
-    "disclaimer footer gdpr legal login masthead menu modal nav navbar navigation navigationbar newsletter notice notices notification overlay "
-    "pager pagination popup privacy promo promoted promotion recommended related share sharing sidebar sidenav signup skip social sponsor "
-    "sponsored subscribe subscription tags toolbar topbar widget".split()
+    "disclaimer footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay "
+    "pager pagination popup prevnext privacy promo promoted recommended related share sharing sidebar sidenav signup skip social "
+    "sponsored subscribe subscription toc toolbar topbar widget".split()
 )
-_READER_WORDS = set("comment comments commentlist disqus discussion feedback replies reply respond response responses".split())
-_MAIN_WORDS = set("article articlebody content entry main post story".split())
-_ARTICLE, _EDGE, _READERS, _HEADER, _HEADING, _ITEM = (1 << i for i in range(6))
+_READER_WORDS = set("comment comments commentlist disqus replies reply responses reviews".split())
+_NEUTRAL_WORDS = set("area bar block bottom box bg col column container content group inner item left link links list message outer right section site text top wrap wrapper".split())
+_ARTICLE, _EDGE, _HINT, _READERS, _HEADER, _HEADING, _ITEM = (1 << i for i in range(7))
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(_SILENT)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|(?=<body\b)|\Z)"
@@ -48,7 +51,39 @@ class Block:
     text: str
     words: int
     linked: int  # of these within links
+    flags: int  # of the element itself
+    box: int
+
+
+@dataclass
+class Box:
+    """An element that holds blocks; `words` counts the running text in it, of blocks that are mostly no links, `own` what no box in it holds."""
+
+    parent: int
     flags: int
+    words: int = 0
+    own: int = 0
+    blocks: int = 0
+
+
+def _hints(rest: str) -> int:
+    """What class, id and role say: a name counts if all of its parts are known words, so `with-sidebar` says nothing."""
+    out = 0
+    low = rest.lower()
+    if "class" not in low and "id" not in low and "role" not in low:
+        return out
+    if re.search(r"\bhidden\b|display\s*:\s*none", re.sub(r"\b(class|id)\s*=\s*(\"[^\"]*\"|'[^']*')", "", low)):
+        out |= _EDGE
+    for found in _NAMES.finditer(rest):
+        for name in (found[1] or found[2] or found[3] or "").split():
+            parts = set(_WORDS.findall(_CAMEL.sub(" ", name).lower()))
+            if parts & _READER_WORDS and parts <= _READER_WORDS | _NEUTRAL_WORDS:
+                out |= _READERS
+            elif parts & _AROUND_WORDS and parts <= _AROUND_WORDS | _NEUTRAL_WORDS:
+                out |= _HINT
+            elif "header" in parts and parts <= {"header"} | _NEUTRAL_WORDS:
+                out |= _HEADER
+    return out
 
 
 def _flags(name: str, rest: str) -> int:
@@ -59,35 +94,30 @@ def _flags(name: str, rest: str) -> int:
         out |= _ARTICLE
     elif name in _AROUND:
         out |= _EDGE
+    elif name == "form":
+        out |= _HINT
     elif name == "header":
         out |= _HEADER
     elif name in _HEADINGS:
         out |= _HEADING
     elif name in ("li", "td", "th", "dd", "dt"):
         out |= _ITEM
-    if rest and ("class" in (low := rest.lower()) or "id" in low or "role" in low):
-        if re.search(r"\bhidden\b|display\s*:\s*none", re.sub(r"\b(class|id)\s*=\s*(\"[^\"]*\"|'[^']*')", "", low)):
-            out |= _EDGE
-        for found in _NAMES.finditer(rest):
-            words = set(_WORDS.findall(_CAMEL.sub(" ", found[1] or found[2] or found[3] or "").lower()))
-            out |= _EDGE * bool(words & _AROUND_WORDS) | _READERS * bool(words & _READER_WORDS) | _HEADER * ("header" in words)
-            if not out & (_EDGE | _READERS):
-                out |= _ARTICLE * bool(words & _MAIN_WORDS)
-    return out
+    return out | _hints(rest) if rest else out
 
 
-def blocks(page: str) -> list[Block]:
-    """The flat text blocks of a page in their order, those without text left out."""
+def blocks(page: str) -> tuple[list[Block], list[Box]]:
+    """The flat text blocks of a page in their order, those without text left out, and the boxes they stand in."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = [("", 0)]
+    boxes = [Box(-1, 0)]
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # element, flags since its box, box
     parts: list[tuple[str, bool]] = []
     links, at = 0, 0
 
-    def flush(flags: int) -> None:
+    def flush(flags: int, box: int) -> None:
         text = " ".join(html.unescape("".join(x for x, _ in parts)).split())
         if text:
             linked = sum(len(html.unescape(x).split()) for x, inside in parts if inside)
-            out.append(Block(text, n := len(text.split()), min(n, linked), flags))
+            out.append(Block(text, n := len(text.split()), min(n, linked), flags, box))
         parts.clear()
 
     for m in _TOKEN.finditer(page):
@@ -98,11 +128,11 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         if name in _BREAKS:
-            flush(stack[-1][1])
+            flush(*stack[-1][1:])
         if m["end"]:
             if name == "a":
                 links = max(0, links - 1)
-            if any(x == name for x, _ in stack):
+            if any(x == name for x, *_ in stack):
                 while stack.pop()[0] != name:
                     pass
         elif name == "a":
@@ -112,26 +142,92 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             elif name == stack[-1][0] and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 stack.pop()
-            stack.append((name, stack[-1][1] | _flags(name, m["rest"])))
+            flags, box = _flags(name, m["rest"]), stack[-1][2]
+            if name in _BOXES or flags & (_HINT | _READERS):
+                boxes.append(Box(box, flags & ~(_HEADING | _ITEM)))
+                stack.append((name, flags & (_HEADING | _ITEM), len(boxes) - 1))
+            else:
+                stack.append((name, stack[-1][1] | flags, box))
         if name in _BREAKS:
             links = 0
     if at < len(page):
         parts.append((page[at:], links > 0))
-    flush(stack[-1][1])
+    flush(*stack[-1][1:])
+    for b in out:
+        if 2 * b.linked < b.words:
+            box = b.box
+            boxes[box].own += b.words - b.linked
+            while box >= 0:
+                boxes[box].words += b.words - b.linked
+                boxes[box].blocks += 1
+                box = boxes[box].parent
+    return out, boxes
+
+
+#: Share of a page's running text that the box of its main text holds at least, or an article's element; and of a box's text, that
+#: is its own if it is no wrapper.
+MOST, ARTICLE, OWN = 0.45, 0.2, 0.1
+
+
+def _bulk(boxes: list[Box]) -> list[int]:
+    """The boxes that hold most of the running text, from the page down to the largest element of an article, or where there is
+    none, to the first box that has text of its own."""
+    around = [0]
+    for b in boxes[1:]:
+        around.append(around[b.parent] | b.flags)
+    articles = [i for i, b in enumerate(boxes) if b.flags & _ARTICLE and not around[i] & (_EDGE | _READERS) and b.words > ARTICLE * boxes[0].words]
+    if articles:
+        out = [max(articles, key=lambda i: boxes[i].words)]
+        while out[-1]:
+            out.append(boxes[out[-1]].parent)
+        return out[::-1]
+    out, below = [0], {}
+    for i, b in enumerate(boxes):
+        below.setdefault(b.parent, []).append(i)
+    while boxes[out[-1]].own <= OWN * boxes[out[-1]].words:
+        best = max((i for i in below.get(out[-1], ()) if boxes[i].blocks > 1), key=lambda i: boxes[i].words, default=0)
+        if not best or boxes[best].words < MOST * boxes[0].words:
+            break
+        out.append(best)
     return out
 
 
-#: The features of a block, in the order of `features`.
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "at_edge", "by_readers", "in_header", "heading", "item")
+def _places(boxes: list[Box]) -> list[tuple[int, bool]]:
+    """What each box and those around it say, and whether it lies in the innermost box of most of the text.
 
+    A hint or a header around most of the text says nothing about it, nor does a hint around an article.
+    """
+    bulk = _bulk(boxes)
+    main = bulk[-1]
+    out: list[tuple[int, bool]] = []
+    for i, b in enumerate(boxes):
+        above, inside = out[b.parent] if b.parent >= 0 else (0, False)
+        own = b.flags & ~(_HINT | _HEADER) if i in bulk else b.flags
+        if own & _ARTICLE:
+            above &= ~_HINT
+        out.append((above | own, inside or i == main))
+    return out
 
-def features(page: list[Block]) -> np.ndarray:
-    """A row for each block: its words and link density, those of its neighbours, and where it stands."""
-    words = np.array([0, *(b.words for b in page), 0], float)
-    density = np.array([0, *(b.linked / b.words for b in page), 0], float)
-    flags = np.array([b.flags for b in page], int)
-    places = [flags & x > 0 for x in (_ARTICLE, _EDGE, _READERS, _HEADER, _HEADING, _ITEM)]
-    return np.stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], *places], 1)
+
+#: The features of a block, in the order of `features`.
+FEATURES = (
+    "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_bulk",
+    "in_article", "at_edge", "hinted", "by_readers", "in_header", "heading", "item",
+)
+#: How many of these tell of words and links.
+DENSITY = 7
+
+
+def features(page: list[Block], boxes: list[Box]) -> np.ndarray:
+    """A row for each block: words and link density of it and its neighbours, whether it stands in the box of most of the running
+    text, and what else it stands in."""
+    words = np.array([b.words for b in (page[0], *page, page[-1])], float)  # the first and the last are their own neighbours
+    density = np.array([b.linked / b.words for b in (page[0], *page, page[-1])], float)
+    places = _places(boxes)
+    inside = np.array([places[b.box][1] for b in page], float)
+    flags = np.array([places[b.box][0] | b.flags for b in page], int)
+    kinds = [flags & x > 0 for x in (_ARTICLE, _EDGE, _HINT, _READERS, _HEADER, _HEADING, _ITEM)]
+    return np.stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], inside, *kinds], 1)
 
 
 @dataclass
@@ -151,7 +247,7 @@ class Tree:
         return node.share > 0.5
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 5, least: int = 12) -> Tree:
     """A decision tree by the Gini impurity."""
     node = Tree(float(y.mean()) if len(y) else 0.0)
     if depth == 0 or len(y) < 2 * least or node.share in (0.0, 1.0):
@@ -176,66 +272,42 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1) -> Tree:
     return node
 
 
-#: The labelled table: pages in which +n stands for a block of n words of main text, and -n for one of n other words.
-LABELLED = (
-    "<body><nav><ul><li><a href=x>-1</a></li><li><a href=x>-1</a></li><li><a href=x>-2</a></li></ul></nav><div class=ad>-12</div>"
-    "<article><h1>+8</h1><p>+9</p><p>+60</p><p>+1</p><p>+30</p><p>+4</p><p>+90</p><h2>+3</h2><p>+2</p></article><footer>-9</footer></body>",
-    "<body><header><h1>-3</h1><p>-9</p></header><div class=menu><a href=x>-1</a><br><a href=x>-2</a></div><main><h1>+6</h1><p>+45</p>"
-    "<ul><li>+5</li><li>+14</li></ul><p>+1</p><aside><h3>-2</h3><p>-30</p></aside><p>+70</p></main><footer><p>-14</p><p>-40</p></footer></body>",
-    "<body><div id=header>-2</div><div><p>-2</p></div><div><p>+40</p><p>+55</p><p>+3</p><p>+80</p></div><div class=sidebar><p>-25</p><p>-50</p></div>"
-    "<div class=comments><h3>-2</h3><p>-12</p><p>-35</p><p>-70</p></div><div class=footer>-12</div></body>",
-    "<body><div><a href=x>-1</a> <a href=x>-1</a> <a href=x>-2</a></div><h1>+7</h1><p>+50</p><p>+65</p><p>+20</p><div><a href=x>-4</a></div><div><a href=x>-6</a></div><div>-3</div></body>",
-    "<body><div class=cookie-notice><p>-30</p><button>-1</button></div><article><header><h1>+9</h1></header><p>+33</p><p>+7</p><form><label>-2</label><p>-10</p></form>"
-    "<p>+41</p><div class=share><a href=x>-1</a></div><p>+2</p><p>+18</p></article><section id=comments><article><p>-20</p></article><p>-44</p><p>-1</p></section></body>",
-    "<body><table><tr><td><a href=x>-1</a></td><td><a href=x>-1</a></td></tr></table><div class=content><p>+25</p><p>+12 <a href=x>+1</a></p><p>+61</p><blockquote>+15</blockquote></div>"
-    "<div class=related><a href=x>-9</a><p>-22</p></div><div class=newsletter><p>-17</p></div></body>",
-    "<body><nav><p>-40</p></nav><article><p>+5</p><div class=advert><p>-35</p></div><p>+6</p><p><a href=x>+3</a></p><p>+100</p><ol><li>+2</li><li>+30</li></ol></article><div>-4</div></body>",
-    "<body><header>-4</header><article><h2>+4</h2><p>+3</p><p>+3</p><div class=banner>-8</div><p>+1</p></article><aside>-60</aside><footer>-2</footer></body>",
-    "<body><p>+80</p><p>+120</p></body>",
-    "<body><div>+70</div><div>+44</div><div><a href=x>-2</a></div></body>",
-    "<body><div class=notice>-45</div><article><div>+1</div><div>+200</div><table><tr><td>+3</td><td>+5</td></tr></table><p>+10</p></article><div class=comment>-90</div></body>",
-    "<body><div>-2</div><div>-3</div><div>-1</div></body>",
-    "<body><header><p>-20</p><p>-50</p></header><p>+30</p><p>+50</p></body>",
-    "<body><nav><p>-3</p><p>-60</p><p>-120</p></nav><h1>+5</h1><p>+50</p><p>+20</p><p>+90</p><aside><p>-80</p><p>-45</p><p>-7</p></aside><p>+35</p><p>+28</p><p>+66</p>"
-    "<div class=comments><p>-60</p><p>-100</p><p>-30</p><p>-3</p></div><footer><p>-100</p><p>-55</p><p>-5</p></footer></body>",
-    "<body><header><p>-70</p><p>-40</p><p>-9</p><p>-130</p></header><p>+60</p><p>+31</p><p>+110</p><form><p>-70</p><p>-35</p></form><p>+45</p><p>+75</p><p>+24</p>"
-    "<div class=promo><p>-150</p><p>-62</p><p>-38</p></div><p>+48</p><p>+85</p><div id=disqus><p>-84</p><p>-58</p><p>-41</p></div></body>",
-    "<body><div class=sidebar><p>-64</p><p>-51</p><p>-33</p></div><div><p>+64</p><p>+51</p><p>+33</p></div><div class=sponsored><p>-90</p><p>-47</p></div><div><p>+90</p><p>+47</p></div>"
-    "<ul><li><a href=x>-30</a></li><li><a href=x>-50</a></li><li><a href=x>-44</a></li></ul><div class=footer><p>-47</p><p>-90</p><p>-64</p></div></body>",
-    "<body><article><p>+40</p><p>+4</p><aside><p>-44</p><p>-90</p></aside><p>+3</p><nav><a href=x>-3</a></nav><p>+70</p><div class=replies><p>-50</p><p>-3</p></div></article></body>",
-    "<body><div>-3</div><article><h1>+4</h1><p>+3</p><p>+14</p><p>+80</p><p>+11</p><p>+2</p></article></body>",
-    "<body><article><p>+1</p><p>+2</p><p>+16</p></article></body>",
-    "<body><main><p>+25</p><p>+5</p><p>+12</p></main></body>",
-    "<body><article><p>+1</p></article></body>",
-    "<body><div>-2</div><article><p>+2</p><p>+1</p><p>+9</p></article><div>-1</div></body>",
-    "<body><article><p>+300</p><p>+1</p><p>+3</p><p>+150</p><p>+6</p><p>+22</p><p>+2</p><p>+17</p><p>+5</p></article></body>",
-)
+def variants(page: str) -> list[str]:
+    """A labelled page as it is (twice, as most are), and without the help of its names, of its elements, and of both."""
+    bare = re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*')", "", page)
+    plain = [re.sub(r"(</?)(?:article|main|nav|aside|footer|header|section|form)\b", r"\1div", x) for x in (page, bare)]
+    return [page, page, bare, *plain]
 
 
-def trained(pages: tuple[str, ...] = LABELLED) -> Tree:
-    """A tree grown from labelled pages."""
+def labelled_rows(pages: tuple[str, ...] = PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of labelled pages in their variants, which is the table that the tree is grown from."""
     xs, ys = [], []
-    for page in pages:
-        filled = re.sub(r"([+-])(\d+)", lambda m: " ".join([m[1] + "w"] + ["w"] * (int(m[2]) - 1)), page)
-        found = blocks(filled)
-        xs.append(features(found))
+    for page in (v for p in pages for v in variants(p)):
+        found, boxes = blocks(page)
+        xs.append(features(found, boxes))
         ys += [b.text[0] == "+" for b in found]
-    return grow(np.concatenate(xs), np.array(ys, float))
+    return np.concatenate(xs), np.array(ys, float)
+
+
+def trained(pages: tuple[str, ...] = PAGES) -> Tree:
+    """A tree grown from labelled pages."""
+    return grow(*labelled_rows(pages))
 
 
 def main_text(page: str | None, tree: Tree) -> str:
     """The main text of a page, a line for each block."""
-    found = blocks(page or "")
-    return "\n".join(b.text for b, row in zip(found, features(found)) if tree.keep(row)) if found else ""
+    found, boxes = blocks(page or "")
+    return "\n".join(b.text for b, row in zip(found, features(found, boxes)) if tree.keep(row)) if found else ""
 
 
-def extract_text(pages: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFrame:
+def extract_text(pages: DataFrame, labelled: tuple[str, ...] = PAGES) -> DataFrame:
     """page_id, url, text, n_chars (code points) of each row of pages (page_id, url, html).
 
     The page is cut into flat blocks at block elements and line breaks; scripts, styles, comments in the markup and the
     content of form controls are no text. Character references are decoded and white space in a block becomes one space.
     A decision tree grown from `labelled` keeps or drops each block, by the words and link densities of it and its
-    neighbours and by what kind of element it stands in; kept blocks are joined by a line feed. A null or empty page, or one
+    neighbours, by whether most of the page's running text is around it, and by the elements and names it stands in; names are weak
+    evidence, which does not count around most of the text. Kept blocks are joined by a line feed. A null or empty page, or one
     without main text, has an empty text. Rows are looked at one by one; null ids and repeated rows pass through.
     """
     tree = trained(labelled)

@@ -115,6 +115,54 @@ def test_pages_without_an_article_element(tree):
     assert pages.main_text(html, tree) == f"{body}\n{body} two"
 
 
+WORDS = "".join(f"<p>{' '.join(['word'] * n)}</p>" for n in (30, 4, 50, 12))
+
+
+@pytest.mark.parametrize("opened", ['<div class="content with-sidebar">', '<article class="post category-social-policy">', '<article id="how-to-login">', '<article class="entry response-plan">', '<div class="sidebar">'])
+def test_names_do_not_decide(tree, opened):
+    html = f"<body><nav><a href=x>Home</a></nav>{opened}{WORDS}</{opened[1:].split()[0]}><footer>Somewhere {'else ' * 9}</footer></body>"
+    assert len(pages.main_text(html, tree).split("\n")) == 4
+    html = f"<body><nav><a href=x>Home</a></nav><article>{WORDS}<div class='promotion-to-captain'>{WORDS}</div></article></body>"
+    assert len(pages.main_text(html, tree).split("\n")) == 8
+    assert pages.main_text("<body><p>one two three</p><p>four five</p></body>", tree) == "one two three\nfour five"
+
+
+def test_density_decides(tree):
+    """Without the article's element nearly all main blocks stay, and a tree that can't see words and links finds much less."""
+    import html
+
+    x, y = pages.labelled_rows()
+    blind = np.concatenate([np.zeros_like(x[:, : pages.DENSITY]), x[:, pages.DENSITY :]], 1)
+    other = pages.grow(blind, y)
+    assert np.mean([tree.keep(r) == bool(z) for r, z in zip(x, y)]) > 0.95
+    assert np.mean([other.keep(r) == bool(z) for r, z in zip(blind, y)]) < 0.85
+    from pyarrow import parquet
+
+    kept, wrong, of, without = 0, 0, 0, 0  # without: wrong decisions of the other tree
+    for page in parquet.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        article = page[page.index("<article>") : (page + "</article>").index("</article>")]
+        lines = {" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|br|h1)>", article)} - {""}
+        page = re.sub(r"(</?)(?:article|nav|footer)>", r"\1div>", page).replace(' class="ad"', "")
+        found, boxes = pages.blocks(page)
+        for b, row in zip(found, pages.features(found, boxes)):
+            of += b.text in lines
+            kept += tree.keep(row) and b.text in lines
+            wrong += tree.keep(row) and b.text not in lines
+            without += (b.text in lines) != other.keep(np.concatenate([np.zeros(pages.DENSITY), row[pages.DENSITY :]]))
+    assert kept >= 0.95 * of and wrong <= 0.02 * of and without >= 0.2 * of
+
+
+def test_held_out_labelled_pages():
+    """Trees grown without a page label its blocks, as it is, in most cases rightly."""
+    right = total = 0
+    for i in range(0, len(pages.PAGES), 3):
+        tree = pages.trained(pages.PAGES[:i] + pages.PAGES[i + 1 :])
+        found, boxes = pages.blocks(pages.PAGES[i])
+        right += sum(tree.keep(row) == (b.text[0] == "+") for b, row in zip(found, pages.features(found, boxes)))
+        total += len(found)
+    assert right >= 0.85 * total
+
+
 def test_odd_pages(spark, tree):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain " * 40), (4, "u", "<p>" * 5000 + "x " * 50), (5, "u", "<article><p>a < b > c & d</p>"), (6, "u", "<script>never closed <p>"), (None, "u", PAGE), (None, "u", PAGE)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
