@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,24 @@ _ALPHABETS = (
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 _PLACES = {name: {c: i for i, c in enumerate(letters)} for name, letters in _ALPHABETS}
-#: Share of false rejections among what is rejected as not random.
-RATE = 0.05
+#: Share of false reports among the tokens that are reported as random.
+RATE = 0.001
+#: A test with a p-value below this rejects by itself that a token is drawn at random.
+NOT_RANDOM = 2e-5
+# Words and endings of which ordinary long tokens are made (names in code, files, titles, products, long words).
+_WORDS = (
+    "a about account after all and any api app archive article auto back base before blue book box build by cache case chapter check class client code column config "
+    "content control count create data date day default delete description edition email end error event export field file final find first for form format from full "
+    "function get group hash header home house id image import in index info input item key label last layout left length level library line link list local log login "
+    "main manager max message method min model module month name network new next node not number object of on open option order output page parameter part party path phone "
+    "photo plan plus policy post price pro product project query rate raw read record report request result right root row run sample save schema search section select send "
+    "server service session set size social sort source start state status step store string style system table target temp test text the time title to total type "
+    "update upload url user value version view water week window with word work world write year zone "
+    "arbeit bericht der die und haus jahr stadt strasse zeit zug avec eau est jour les maison pour rue ville casa con del fecha libro los para tiempo"
+).split()
+_ENDINGS = "able ation ational ed er ers es ing isation ism ist ity ization ly ment ness ological s tion ung".split()
+#: Ordinary tokens that the tests are calibrated on, for each of some lengths.
+CALIBRATED, LENGTHS = 200, (20, 24, 28, 32, 40, 56, 80, 128)
 
 
 def _normal_tail(z: float) -> float:
@@ -85,28 +103,115 @@ def serial_test(codes: np.ndarray) -> float:
     return _normal_tail((float(x[1:] @ x[:-1]) / total + 1 / n) * math.sqrt(n))
 
 
-def randomness(token: str) -> float:
-    """One p-value for the hypothesis that the token is drawn at random in its encoding: the least of three, times three."""
+def ordinary_token(rng: random.Random, length: int) -> str:
+    """An ordinary token of at least `length` characters: words, numbers, dates and codes in one of the usual spellings."""
+    spelling = rng.choice(("camel", "Camel", "_", "-", "/", "UPPER_", "", "UPPER", "long", "number"))
+    if spelling == "number":
+        mark = rng.choice(("", "", "-", "_", "/"))
+        out = str(rng.randrange(1, 10**6))
+        while len(out) < length:
+            out += mark + rng.choice((f"{rng.randrange(1990, 2030)}{rng.randrange(1, 13):02}{rng.randrange(1, 29):02}", str(rng.randrange(10 ** rng.randrange(1, 9))), str(rng.randrange(10)) * 6))
+        return out
+    parts: list[str] = []
+    while sum(map(len, parts)) < length:
+        word = rng.choice(_WORDS) + (rng.choice(_ENDINGS) if rng.random() < (0.8 if spelling == "long" else 0.2) else "")
+        parts.append(word.capitalize() if spelling.lower() == "camel" and (parts or spelling == "Camel") else word.upper() if "UPPER" in spelling else word)
+        draw = rng.random()
+        if draw < 0.25 and spelling != "long":
+            parts.append(str(rng.randrange(10 ** rng.randrange(1, 5))))
+        elif draw < 0.3 and spelling != "long":
+            parts.append("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randrange(1, 4))) + str(rng.randrange(10 ** rng.randrange(2, 5))))
+    return spelling[-1:].join(parts) if spelling in ("_", "-", "/", "UPPER_") else "".join(parts)
+
+
+def _kind(c: str) -> int:
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
+@cache
+def _ordinary_pairs() -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of how likely in ordinary tokens a kind follows a kind, and a letter follows a letter (26: no letter)."""
+    rng = random.Random(3)
+    kinds, letters = np.full((4, 4), 0.5), np.full((27, 26), 0.3)
+    for _ in range(4000):
+        token = ordinary_token(rng, 20)
+        for a, b in zip(token, token[1:]):
+            kinds[_kind(a), _kind(b)] += 1
+            if b.isalpha():
+                letters[ord(a.lower()) - 97 if a.isalpha() else 26, ord(b.lower()) - 97] += 1
+    return tuple(np.log(x / x.sum(1, keepdims=True)) for x in (kinds, letters))
+
+
+def _letter(c: str) -> int:
+    return ord(c.lower()) - 97 if c.isalpha() else 26
+
+
+@cache
+def _pair_scores(name: str) -> dict[str, dict[str, float]]:
+    """Of an encoding: how much more likely a character after another is in ordinary tokens than at random (logarithm)."""
+    kinds, letters = _ordinary_pairs()
+    count = np.bincount([_kind(c) for c in _PLACES[name]], minlength=4)
+    out: dict = {}
+    for a in _PLACES[name]:
+        out[a] = {b: kinds[_kind(a), k := _kind(b)] - math.log(count[k] / count.sum()) + (letters[_letter(a), _letter(b)] + math.log(count[k]) if k < 2 else 0) for b in _PLACES[name]}
+    return out
+
+
+def pairs_test(token: str, name: str) -> float:
+    """How much more likely the characters of a token, each after the one before, are in ordinary tokens than at random in the encoding."""
+    scores = _pair_scores(name)
+    return float(sum(scores[a][b] for a, b in zip(token, token[1:])))
+
+
+def departure(token: str) -> tuple[float, float]:
+    """How far a token is from being drawn at random in its encoding, by all tests (infinite where it has no encoding), and the
+    least p-value of a single one.
+
+    Uniformity, runs, serial correlation and the shares of kinds of letters count by the logarithm of their p-value, up to 12
+    each, and pairs of characters by their logarithm of likelihoods.
+    """
+    token = token.rstrip("=")
     name = encoding(token)
-    if name is None:
-        return 0.0
+    if name is None or len(token) < LEAST:
+        return math.inf, 0.0
     places = _PLACES[name]
-    codes = np.array([places[c] for c in token.rstrip("=")], np.int64)
-    if len(codes) < LEAST:
-        return 0.0
+    codes = np.array([places[c] for c in token], np.int64)
     tests = [uniformity(codes, len(places)), runs_test(codes, len(places)), serial_test(codes)]
-    # kinds of letters follow one another at random too
-    kinds = np.array([c.isdigit() + 2 * c.isupper() for c in token.rstrip("=")])
-    shares = [((kinds == 1).mean(), sum(c.isdigit() for c in places) / len(places))]
+    shares = [(sum(map(str.isdigit, token)), sum(map(str.isdigit, places)))]
     if name not in ("hex", "HEX", "base32"):
-        shares.append(((kinds == 2).mean(), 26 / len(places)))
-    for share, wanted in shares:
-        tests.append(_normal_tail((share - wanted) * math.sqrt(len(codes) / (wanted * (1 - wanted)))))
-    return min(1.0, min(tests) * len(tests))
+        shares.append((sum(map(str.isupper, token)), 26))
+    for seen, of in shares:
+        share, wanted = seen / len(token), of / len(places)
+        tests.append(_normal_tail((share - wanted) * math.sqrt(len(token) / (wanted * (1 - wanted)))))
+    return sum(min(12.0, -math.log(max(p, 1e-9))) for p in tests) + pairs_test(token, name), min(tests)
+
 
+@cache
+def _calibration() -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the departure of ordinary tokens, for each of LENGTHS."""
+    rng = random.Random(4)
+    out = []
+    for length in LENGTHS:
+        found = [departure(ordinary_token(rng, length)[:length])[0] for _ in range(CALIBRATED)]
+        found = [x for x in found if x < math.inf]
+        out.append((np.mean(found), np.std(found)))
+    return tuple(np.array(x) for x in zip(*out))
 
-def rejected(p: list[float], lengths: list[int], rate: float = RATE) -> list[bool]:
-    """Which tokens are not random, at a false-discovery rate over the tokens of a text.
+
+def randomness(token: str) -> float:
+    """A p-value for the hypothesis that the token is an ordinary one: how likely such a token of its length departs as little from
+    randomness. 1 for a token that a single test finds not random, as one of a few characters in turn."""
+    seen, least = departure(token)
+    if least < NOT_RANDOM:
+        return 1.0
+    mean, spread = _calibration()
+    n = len(token.rstrip("="))
+    z = (seen - np.interp(n, LENGTHS, mean) * max(1.0, n / LENGTHS[-1])) / (np.interp(n, LENGTHS, spread) * max(1.0, n / LENGTHS[-1]))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def reported(p: list[float], lengths: list[int], rate: float = RATE) -> list[bool]:
+    """Which tokens are random, at a false-discovery rate over the tokens of a text.
 
     Benjamini and Hochberg's rule on p-values divided by weights with mean 1. The weights grow with the square root of the
     length, as the tests see more in longer tokens.
@@ -132,7 +237,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text in code points, by start and then kind as listed.
 
     The three fixed kinds are found as their patterns say. Other long tokens of an encoding's letters, outside those spans,
-    are tested for randomness, and kept as kind `random` unless the tests reject that; one within another kept one is left out.
+    are of kind `random` if the tests reject that they are ordinary; one within another kept one is left out.
     """
     spans = []
     low = text.lower()
@@ -143,8 +248,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
     found = [(a, b) for a, b in _candidates(text) if not any(x < b and a < y for _, x, y in spans)]
     tokens = [text[a:b] for a, b in found]
-    bad = rejected([randomness(x) for x in tokens], [len(x) for x in tokens])
-    kept = [x for x, no in zip(found, bad) if not no]
+    kept = [x for x, yes in zip(found, reported([randomness(x) for x in tokens], [len(x) for x in tokens])) if yes]
     upto = -1
     for a, b in sorted(kept, key=lambda x: (x[0], -x[1])):
         if b > upto:
@@ -196,7 +300,11 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """docs with its columns, the secrets in `text` masked; `n_chars`, if there is one, follows."""
+    """docs with its columns, the secrets in `text` masked; `n_chars`, if there is one, follows.
+
+    A null text stays null, an empty one empty. Rows are looked at one by one and only the text is read, so null ids, repeated
+    rows and other columns make no difference; texts may be of any length. An empty table gives an empty table.
+    """
     schema = docs.schema
     names = docs.columns
 
