@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: Most times that a document is taken.
 MOST = 3
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
+#: Sources whose targets are broadcast at most, some MB; more are joined in SALTS parts each.
+BROADCAST, SALTS = 50_000, 32
 
 
 def word_count(text: Column) -> Column:
@@ -45,19 +47,34 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return levels.select("source", "source_size", target.alias("target"))
 
 
+def _with_targets(rows: DataFrame, docs: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """rows (source, draw, ...) with source_size, target and copies.
+
+    The targets are worked out first and counted: few are broadcast, so that no document is shuffled; of many, a source's rows
+    are dealt in parts by their draw.
+    """
+    targets = cut(source_targets(docs.select("source", word_count(F.col("text")).alias("size")), weights, most)).withColumnRenamed("source", "target_source")
+    same = rows["source"].eqNullSafe(targets["target_source"])
+    if targets.count() <= BROADCAST:
+        joined = rows.join(F.broadcast(targets), same, "left")
+    else:
+        part = F.floor(F.col("draw") * SALTS).cast("int")
+        parts = targets.withColumn("target_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(parts, same & (part == F.col("target_part")), "left").drop("target_part")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    copies = F.least(F.floor(rate) + F.when(F.col("draw") < rate - F.floor(rate), 1).otherwise(0), F.lit(most)).cast("long")
+    return joined.drop("target_source").withColumn("copies", copies)
+
+
 def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """docs (doc_id, text, source) with size, source_size, target and copies.
+    """docs (doc_id, text, source) with size, draw, source_size, target and copies.
 
     A document is taken floor(rate) times, and once more with the rate's fraction as probability, where rate is its
     source's target by its size. The draw is a hash of seed and doc_id, so reruns agree and rows that repeat a doc_id
     fall alike; for a null doc_id the text is hashed. Null texts have no words; a null source is a source.
     """
-    docs = docs.select("doc_id", "text", "source")
-    sized = docs.select("source", word_count(F.col("text")).alias("size"))
-    targets = source_targets(sized, weights, most).withColumnRenamed("source", "target_source")
-    rows = docs.withColumn("size", word_count(F.col("text")))
-    rows = rows.join(targets, rows["source"].eqNullSafe(targets["target_source"]), "left").drop("target_source")
-    return rows.withColumn("copies", _copies(seed, most))
+    rows = docs.select("doc_id", "text", "source", word_count(F.col("text")).alias("size"), _draw(seed).alias("draw"))
+    return _with_targets(rows, docs, weights, most)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
@@ -66,19 +83,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     docs needs doc_id, text and source. Copies are decided as in with_copies. An empty table gives an empty table; in a
     corpus without any word nothing is taken.
     """
-    names = docs.columns
-    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "doc_id", "text", "source")
-    sized = kept.select("source", word_count(F.col("text")).alias("size"))
-    targets = source_targets(sized, weights, most).withColumnRenamed("source", "target_source")
-    joined = kept.join(targets, kept["source"].eqNullSafe(targets["target_source"]), "left")
-    return joined.withColumn("copies", _copies(seed, most)).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "source", _draw(seed).alias("draw"))
+    taken = _with_targets(rows, docs, weights, most).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
-def _copies(seed: str, most: int) -> Column:
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+def _draw(seed: str) -> Column:
+    """A number from 0 to below 1 for each document."""
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.col("text")), F.lit("none")))
-    draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
-    return F.least(F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0), F.lit(most)).cast("long")
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
