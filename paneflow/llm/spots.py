@@ -17,26 +17,27 @@ ANCHORS = (
 ).split()
 #: Content words of a signature.
 CHAIN = 3
-#: Anchors that a chain may run across.
-REACH = 8
-#: Rows of one window group, about.
+#: Rows of one window group, about, and quantiles of doc_id between which groups are of equal width.
 GROUP_ROWS = 2000
+QUANTILES = 128
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The distinct signatures of a text as sorted 32-bit hashes.
 
     Letters and digits in lower case make words. After each anchor, and from the start of the text, the next `chain`
-    content words (those that are no anchors) are a signature; near the end of the text, or where REACH anchors come before its
-    last word, it may be shorter. A null text or one without content words has none.
+    content words (those that are no anchors) are a signature; near the end of the text it may be shorter. A null text or one
+    without content words has none.
     """
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     marked = F.regexp_replace(plain, f" (?:{'|'.join(sorted(set(ANCHORS)))})(?= )", "\x01")
+    between = F.filter(F.transform(F.split(marked, "\x01"), lambda x: F.trim(x)), lambda x: x != "")  # content words between anchors: at least one each
+
     def chains(pieces):
-        return F.transform(pieces, lambda _, i: F.trim(F.substring_index(F.trim(F.array_join(F.slice(pieces, i + 1, REACH), "")), " ", chain)))
+        return F.transform(pieces, lambda _, i: F.substring_index(F.array_join(F.slice(pieces, i + 1, chain), " "), " ", chain))
 
-    found = F.transform(F.array(F.split(marked, "\x01")), chains)[0]  # a lambda's variable is evaluated once
-    return F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda x: x != ""), lambda x: F.hash(x))))
+    found = F.transform(F.array(between), chains)[0]  # a lambda's variable is evaluated once
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.hash(x))))
 
 
 def digest(found: Column) -> Column:
@@ -84,28 +85,54 @@ def spot_links(docs: DataFrame, alike: float = 0.8, chain: int = CHAIN) -> tuple
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"), members
 
 
+def _between(limits: list[int], low: int = 0) -> Column:
+    """How many of the limits, in order, doc_id has reached: a search by halves."""
+    if not limits:
+        return F.lit(low)
+    at = len(limits) // 2
+    return F.when(F.col("doc_id") < limits[at], _between(limits[:at], low)).otherwise(_between(limits[at + 1 :], low + at + 1))
+
+
+def _grouped(d: DataFrame, group_rows: int) -> DataFrame:
+    """d with `part` and `place`, which put it into groups of about group_rows rows in the order of doc_id.
+
+    Between quantiles of doc_id, of which there are QUANTILES at most, groups are of equal width, so ids far from all others
+    don't leave the rest in one group. Rows without doc_id are a group before all others.
+    """
+    ids = d.filter("doc_id IS NOT NULL")
+    least, most, rows = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    if not rows:
+        return d.withColumn("part", F.lit(-1)).withColumn("place", F.lit(0).cast("long"))
+    n = min(QUANTILES, -(-rows // group_rows))
+    found = ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
+    limits = sorted({x for x in map(int, found) if least < x <= most})
+    edges = [least, *limits, most + 1]
+    widths = [min(2**62, max(1, (b - a) * group_rows * (len(edges) - 1) // rows)) for a, b in zip(edges, edges[1:])]
+    width = F.element_at(F.array(*(F.lit(x).cast("long") for x in widths)), F.col("part") + 1)
+    d = d.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(_between(limits)))
+    return d.withColumn("place", F.when(F.col("part") >= 0, F.call_function("div", "doc_id", width)).otherwise(0).cast("long"))
+
+
 def with_next(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, text, signatures of each row, and as next_text, next_signatures those of the next row in descending doc_id.
 
     After the last row comes the first. Rows with the same doc_id follow in the order of their texts, and those with a
-    null doc_id come last; a null text counts as empty. No task sorts all rows: ranges of doc_id of about `group_rows`
-    rows are sorted apart, and only the first row of each range is looked at across ranges. Many rows with one doc_id or
-    none share a range.
+    null doc_id come last; a null text counts as empty. No task sorts all rows: groups of about `group_rows` rows
+    are sorted apart, and only the first row of each is looked at across groups. Many rows with one doc_id or none share a group.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    least, most, rows = d.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = min(2**62, max(1, ((most or 0) - (least or 0) + 1) * group_rows // max(1, rows)))
-    d = d.withColumn("range", F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(-(2**63))))
+    d = _grouped(d, group_rows)
+    group = ["part", "place"]
+    order = W.partitionBy(*group).orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
+    heads = d.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select(*group, F.col("text").alias("head"))
+    down = W.orderBy(F.col("part").desc(), F.col("place").desc())
+    after = d.select(*group).distinct().withColumn("follows", F.lead(F.struct(*group)).over(down))  # one narrow row a group
+    first = F.max(F.struct(*group)).over(W.partitionBy())
+    after = after.withColumn("follows", F.coalesce("follows", first)).select(F.col("part").alias("of_part"), F.col("place").alias("of_place"), "follows.*")
+    heads = after.join(heads, group).select(F.col("of_part").alias("part"), F.col("of_place").alias("place"), F.struct(F.col("head").alias("text"), signatures(F.col("head")).alias("signatures")).alias("head"))
     d = d.withColumn("signatures", signatures(F.col("text")))
-    order = W.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
-    d = d.select("*", F.lead(F.struct("text", "signatures")).over(order).alias("next"), F.row_number().over(order).alias("place"))
-    heads = d.filter("place = 1").select("range", F.struct("text", "signatures").alias("head"))
-    down = W.orderBy(F.col("range").desc())
-    after = d.filter("place = 1").select(
-        F.col("range").alias("from"), F.coalesce(F.lead("range").over(down), F.max("range").over(W.partitionBy())).alias("range")
-    )
-    heads = after.join(heads, "range").select(F.col("from").alias("range"), "head")
-    d = d.join(heads, "range", "left").withColumn("next", F.coalesce("next", "head"))
+    d = d.withColumn("next", F.lead(F.struct("text", "signatures")).over(order))
+    d = d.join(heads, group, "left").withColumn("next", F.coalesce("next", "head"))
     return d.select("doc_id", "text", "signatures", F.col("next.text").alias("next_text"), F.col("next.signatures").alias("next_signatures"))
 
 

@@ -377,6 +377,13 @@ def test_mixing(spark, seed):
     assert Counter((r.doc_id, r.text, r.source) for r in mixed.collect()) == sum((Counter({(r.doc_id, r.text, r.source): r.copies}) for r in got), Counter())
 
 
+def test_mixing_many_sources(spark, monkeypatch):
+    df = docs(spark, [(i, "w " * (i % 7), None, "s%d" % (i % 40) if i % 5 else None) for i in range(400)])
+    few = sorted(map(str, mixing.with_copies(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST", 3)
+    assert sorted(map(str, mixing.with_copies(df).collect())) == few and mixing.mix(df).columns == df.columns
+
+
 def test_mixing_nothing(spark):
     assert mixing.with_copies(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [])).count() == 0
     assert {r.copies for r in mixing.with_copies(docs(spark, [(1, "", None, "a"), (2, None)])).collect()} == {0}
@@ -396,13 +403,9 @@ def brute_signatures(text):
     stop = set(spots.ANCHORS)
     out = set()
     for at in [-1] + [i for i, w in enumerate(words) if w in stop]:
-        chain, anchors = [], 0
+        chain = []
         for w in words[at + 1 :]:
-            if w in stop:
-                anchors += 1
-                if anchors >= spots.REACH:
-                    break
-            else:
+            if w not in stop:
                 chain.append(w)
                 if len(chain) == spots.CHAIN:
                     break
@@ -478,6 +481,21 @@ def test_spot_links(spark):
     assert all(x.count() == 0 for x in spots.spot_links(docs(spark, [])))
 
 
+def test_chains_run_across_any_number_of_anchors(spark):
+    text = "cat " + "of the " * 40 + "dog and " + "the " * 30 + "bird"
+    got = spots.spot_fingerprints(docs(spark, [(1, text)])).first().signatures
+    assert len(got) == len(brute_signatures(text)) == 3
+
+
+def test_far_ids_do_not_crowd_the_rest(spark):
+    df = docs(spark, [(i, "text %d" % i) for i in [*range(-300, 700), 2**62, -(2**63), 2**63 - 1]])
+    sizes = [r["count"] for r in spots._grouped(df.select("doc_id", "text"), 100).groupBy("part", "place").count().collect()]
+    assert sum(sizes) == 1003 and max(sizes) <= 320 and len(sizes) > 6
+    order = sorted((r.doc_id for r in df.collect()), reverse=True)
+    got = {r.doc_id: r.next_text for r in spots.with_next(df, 100).collect()}
+    assert got == {a: "text %d" % b for a, b in zip(order, order[1:] + order[:1])}
+
+
 def test_one_document_follows_itself(spark):
     r = spots.with_next(docs(spark, [(1, "the cat sat down")])).first()
     assert (r.text, r.next_text) == ("the cat sat down", "the cat sat down")
