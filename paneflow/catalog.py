@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import metrics, ordered, sketches, truth
+from .operators.lineage import cut
 from .plans import compile as plans
 from .plans import query as library
 from .plans.panes import WindowSpec, drifting_panes, to_windows, with_panes
@@ -29,10 +30,12 @@ DEPTH, WIDTH = 4, 1021
 PAIR = ["src_ip", "dst_ip"]
 FLOW = list(truth.FLOW)
 PLAIN = WindowSpec(SPEC.pane, SPEC.panes)
+#: A switch's memory that makes some elements and keys of the packet view collide.
+PLANE = plans.Plane(bits=2048, counters=128)
 
 
 def _mechanism(name: str, mechanism: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.run(event_packets(spark, sf_dir), QUERIES[name], SPEC, mechanism)
+    return plans.run(event_packets(spark, sf_dir), QUERIES[name], SPEC, mechanism, PLANE)
 
 
 def _panes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +90,73 @@ def pr_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("win", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
+def _sets(packets: DataFrame, mechanisms: tuple[str, ...]) -> DataFrame:
+    """query, mechanism, key: what each query reports by each mechanism in any window."""
+    out = None
+    for name, q in QUERIES.items():
+        key = (q.output or q.keys)[0]
+        for m in mechanisms:
+            part = plans.run(packets, q, SPEC, m, PLANE).select(F.lit(name).alias("query"), F.lit(m).alias("mechanism"), F.col(key).cast("long").alias("key"))
+            out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def pr_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of what a switch finds against exact sliding windows: a row for each query, a column for each mechanism."""
+    sets = cut(_sets(event_packets(spark, sf_dir), (*plans.PLANE_MECHANISMS, "itw", "isw")))
+    real = sets.filter("mechanism = 'isw'").select("query", "key", F.lit(1).alias("hit"))
+    found = sets.filter("mechanism <> 'isw'").join(real, ["query", "key"], "left").groupBy("query", "mechanism").agg(F.count("hit").alias("tp"), F.count(F.lit(1)).alias("found"))
+    rows = found.join(real.groupBy("query").agg(F.count(F.lit(1)).alias("real")), "query")
+    rows = rows.select("query", "mechanism", (F.col("tp") / F.col("found")).alias("precision"), (F.col("tp") / F.col("real")).alias("recall"))
+    return metrics.pivoted(rows, "query", "mechanism", [*plans.PLANE_MECHANISMS, "itw"], ["precision", "recall"])
+
+
+def pr_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over all windows of precision and recall by window, for ddos, of merged sliding windows as a switch counts them and exactly."""
+    packets, q = event_packets(spark, sf_dir), QUERIES["ddos"]
+    real, out = plans.run(packets, q, SPEC, "isw"), None
+    for m in ("osw", "oswa"):
+        by_window = metrics.precision_recall(plans.run(packets, q, SPEC, m, PLANE), real, ["dst_ip"], ["win"])
+        part = by_window.agg(F.round(F.avg("precision"), 9).alias("precision"), F.round(F.avg("recall"), 9).alias("recall")).select(F.lit(m).alias("mechanism"), "precision", "recall")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def ideal_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of what complete sliding windows find that exact tumbling windows find as well."""
+    out = None
+    for name, f in (("heavy_hitters", heavy_hitters), ("superspreaders", superspreaders)):
+        every, some = (f(aligned, spark, sf_dir).agg(F.count(F.lit(1)).alias("n")) for aligned in (False, True))
+        part = every.withColumnRenamed("n", "every").crossJoin(some)  # one row each
+        part = part.select(F.lit(name).alias("measure"), F.round(F.coalesce(F.col("n") / F.nullif("every", F.lit(0)), F.lit(1.0)), 9).alias("recall"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def restricted_tp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of merged tumbling windows, for superspreader: those that tumbling windows can find, those that nothing finds, and those missed."""
+    packets, q = event_packets(spark, sf_dir), QUERIES["superspreader"]
+    found, real, tumbling = (plans.run(packets, q, SPEC, m, PLANE) for m in ("oswa", "isw", "itw"))
+    return metrics.restricted_confusion(found, real, tumbling, ["src_ip"])
+
+
+def relative_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative error of Count-Min for each pair of addresses, at a width that makes pairs collide."""
+    rows = event_packets(spark, sf_dir)
+    exact = rows.groupBy(*PAIR).agg(F.sum("size").alias("exact"))
+    est = sketches.count_min_query(sketches.count_min(rows, PAIR, "size", 2, 61), exact, PAIR, 2, 61)
+    return est.join(exact, PAIR).select(*PAIR, F.round(metrics.relative_error("est", "exact"), 9).alias("error"))
+
+
+def spread_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spreaders of each complete window: candidates of a spread sketch for each pane, above 1 in the pane, summed over panes, and above 4."""
+    rows = _panes(spark, sf_dir)
+    by = ["pane", "closed"]
+    bits, candidates = sketches.spread_sketch(rows, "src_ip", "dst_ip", DEPTH, 257, SHAPE, by)
+    est = sketches.spread_query(bits, candidates, "src_ip", DEPTH, 257, SHAPE, by, 1)
+    return to_windows(est, PLAIN).groupBy("win", "src_ip").agg(F.sum("est").alias("est")).filter(f"est > 4 AND win >= {PLAIN.panes - 1}")
+
+
 def collapse_stride(spark, sf_dir):
     result = _mechanism("new_tcp_connections", "isw", spark, sf_dir)
     return truth.collapse(result, ["dst_ip"], start=4, width=5, stride=3)
@@ -247,7 +317,7 @@ def _ordered(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out: dict = {f"{name}_{m}": partial(_mechanism, name, m) for name in QUERIES for m in plans.MECHANISMS}
+    out: dict = {f"{name}_{m}": partial(_mechanism, name, m) for name in QUERIES for m in (*plans.MECHANISMS, *plans.PLANE_MECHANISMS)}
     out |= {"heavy_hitters_isw": partial(heavy_hitters, False), "heavy_hitters_tw": partial(heavy_hitters, True)}
     out |= {"superspreaders_isw": partial(superspreaders, False), "superspreaders_tw": partial(superspreaders, True)}
     out |= {"bloom_distinct": partial(bloom_distinct, 1), "bloom_distinct_2": partial(bloom_distinct, 2)}
@@ -255,7 +325,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[f.__name__] = f
     for f in (data_plane_ddos, lc_card, hll_card, mrb_card, vbf_spread, spread_candidates, loss_anti, ibf_cells, ibf_decode, lookup_vs_dump, sliding_cm):
         out[f.__name__] = f
-    for f in (drifting, keys_extracted, error_report):
+    for f in (drifting, keys_extracted, error_report, pr_table, pr_average, ideal_recall, restricted_tp, relative_errors, spread_merged):
         out[f.__name__] = f
     out |= {kind: partial(_ordered, kind) for kind in ordered.KINDS}
     return out

@@ -47,3 +47,15 @@ def average_relative_error(estimates: DataFrame, estimate: str, truth: str, by:
 
 def relative_error(estimate: str, truth: str) -> Column:
     return F.abs(F.col(estimate) - F.col(truth)).cast("double") / F.col(truth)
+
+
+def pivoted(rows: DataFrame, by: str, column: str, values: list[str], measures: list[str]) -> DataFrame:
+    """A row for each `by` and a column measure_value for each measure and value of `column`, rounded; null where there is none."""
+    cells = [F.max(F.when(F.col(column) == v, F.round(m, 6))).alias(f"{m}_{v}") for m in measures for v in values]
+    return rows.groupBy(by).agg(*cells)
+
+
+def write_report(table: DataFrame, path: str) -> None:
+    """A small table as one CSV file with a header, N/A where there is no value."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("N/A")).alias(c) for c in table.columns]
+    table.select(*text).coalesce(1).write.mode("overwrite").csv(path, header=True)

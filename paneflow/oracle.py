@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import DEPTH, FLOW, PAIR, QUERIES, SHAPE, SPEC, WIDTH
+from .catalog import DEPTH, FLOW, PAIR, PLANE, QUERIES, SHAPE, SPEC, WIDTH
 from .functions.hashing import fold_sql, position_sql, trailing_zeros_sql
 from .operators.sketches import hyperloglog_sql, slice_rows
 from .sources.packets import PACKETS_SQL
@@ -42,10 +42,36 @@ def _query(name: str, mechanism: str) -> str:
 SELECT {', '.join([names, *q.measures])} FROM s WHERE {q.having}"""
 
 
+def _switch(name: str, mechanism: str) -> str:
+    """tw1a, tw2a, otwa, oswa with one hash: a packet is new if it is the first at its bit, a key is listed if it is the first at its counter."""
+    q = QUERIES[name]
+    tumbling = mechanism in ("tw1a", "tw2a")
+    times = 4 if tumbling else 1
+    dead = f" AND elapsed >= {SPEC.dead}" if mechanism == "tw1a" else ""
+    rows = f"SELECT *, turn AS cell, turn AS scope FROM p WHERE turn < turns{dead}" if tumbling else f"SELECT *, pane AS cell, pane // {N} AS scope FROM p WHERE pane < closed"
+    names, element = ", ".join(q.keys), [*q.keys, *(f"element_{c}" for c in q.elements)]
+    keys = ", ".join([*(f"{e} AS {k}" for k, e in q.key), *(f"{c} AS element_{c}" for c in q.elements), *(f"CAST({e} AS BIGINT) AS {m}" for m, e in q.sums)])
+    ctes, parts = [f"r AS (SELECT cell, scope, closed, us, seq, {keys} FROM ({rows}) WHERE ({q.where}))"], []
+    for i, m in enumerate(q.measures):
+        if m == q.distinct:
+            bit = position_sql(fold_sql(*element), 0, times * PLANE.bits)
+            ctes.append(f"d{i} AS (SELECT *, 1 AS val FROM r QUALIFY row_number() OVER (PARTITION BY scope, {bit} ORDER BY us, seq) = 1)")
+        else:
+            ctes.append(f"d{i} AS (SELECT *, {m} AS val FROM r WHERE {m} <> 0)")
+        place = position_sql(fold_sql(*q.keys), 0, times * PLANE.counters)
+        ctes.append(f"s{i} AS (SELECT *, row_number() OVER w AS nth, sum(val) OVER (PARTITION BY cell, {place}) AS est FROM d{i} WINDOW w AS (PARTITION BY cell, {place} ORDER BY us, seq))")
+        parts.append(f"SELECT cell, closed, {names}, {', '.join(f'est AS {x}' if x == m else f'0 AS {x}' for x in q.measures)} FROM s{i} WHERE nth = 1")
+    win = "cell AS win" if tumbling else f"cell // {N} AS win" if mechanism == "otwa" else "w.win"
+    bound = "" if tumbling else f" WHERE cell // {N} < closed // {N}" if mechanism == "otwa" else f" JOIN (SELECT unnest(range((SELECT max(closed) FROM p))) AS win) w ON w.win BETWEEN cell AND cell + {N - 1}"
+    sums = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in q.measures)
+    return f"""{_HEAD}, {', '.join(ctes)}, u AS ({' UNION ALL '.join(parts)}), f AS (SELECT CAST({win.split(' AS ')[0]} AS BIGINT) AS win, {names}, {sums} FROM u{bound} GROUP BY ALL)
+SELECT win, {names}, {', '.join(q.measures)} FROM f WHERE {q.having}"""
+
+
 def _sets(name: str, mechanism: str) -> str:
     q = QUERIES[name]
     key = (q.output or q.keys)[0]
-    return f"SELECT DISTINCT '{name}' AS query, '{mechanism}' AS mechanism, CAST({key} AS BIGINT) AS key FROM ({_query(name, mechanism)})"
+    return f"SELECT DISTINCT '{name}' AS query, '{mechanism}' AS mechanism, CAST({key} AS BIGINT) AS key FROM ({_switch(name, mechanism) if mechanism.endswith('a') else _query(name, mechanism)})"
 
 
 def _flow_windows(where: str = "true") -> str:
@@ -92,15 +118,15 @@ def _resolution(rows: str, element: str, by: str) -> str:
 z AS (SELECT {by}, {sums} FROM v GROUP BY {by})"""
 
 
-def _spread_sketch() -> str:
+def _spread_sketch(rows: str = _TUMBLING, win: str = "win", least: int = 3) -> str:
     level, bit = SHAPE.level_sql("x"), SHAPE.bit_sql("x", "level")
     places = " UNION ALL ".join(f"SELECT *, {i} AS row, {position_sql('(src_ip % 2147483647)', i, 257)} AS pos FROM l" for i in range(DEPTH))
     sums = ", ".join(f"CAST(count(DISTINCT CASE WHEN level = {i} THEN bit END) AS BIGINT) AS s{i}" for i in range(SHAPE.levels))
-    asked = " UNION ALL ".join(f"SELECT DISTINCT win, src_ip, {i} AS row, {position_sql('(src_ip % 2147483647)', i, 257)} AS pos FROM k" for i in range(DEPTH))
-    return f"""{_HEAD}, l AS (SELECT *, {bit} AS bit FROM (SELECT *, {level} AS level FROM (SELECT *, {position_sql(fold_sql(*PAIR), 2, 2**31 - 1)} AS x FROM ({_TUMBLING})))),
-m AS ({places}), k AS (SELECT win, row, pos, arg_max(src_ip, (level, us, seq)) AS src_ip FROM m GROUP BY ALL),
-z AS (SELECT win, row, pos, {sums} FROM m GROUP BY win, row, pos), q AS (SELECT win, row, pos, {SHAPE.estimate_sql([f's{i}' for i in range(SHAPE.levels)])} AS one FROM z), a AS ({asked})
-SELECT CAST(win AS BIGINT) AS win, src_ip, min(one) AS est FROM a JOIN q USING (win, row, pos) GROUP BY ALL HAVING min(one) > 3"""
+    asked = " UNION ALL ".join(f"SELECT DISTINCT {win}, src_ip, {i} AS row, {position_sql('(src_ip % 2147483647)', i, 257)} AS pos FROM k" for i in range(DEPTH))
+    return f"""{_HEAD}, l AS (SELECT *, {bit} AS bit FROM (SELECT *, {level} AS level FROM (SELECT *, {position_sql(fold_sql(*PAIR), 2, 2**31 - 1)} AS x FROM ({rows})))),
+m AS ({places}), k AS (SELECT {win}, row, pos, arg_max(src_ip, (level, us, seq)) AS src_ip FROM m GROUP BY ALL),
+z AS (SELECT {win}, row, pos, {sums} FROM m GROUP BY {win}, row, pos), q AS (SELECT {win}, row, pos, {SHAPE.estimate_sql([f's{i}' for i in range(SHAPE.levels)])} AS one FROM z), a AS ({asked})
+SELECT CAST({win} AS BIGINT) AS {win}, src_ip, min(one) AS est FROM a JOIN q USING ({win}, row, pos) GROUP BY ALL HAVING min(one) > {least}"""
 
 
 def _vector() -> str:
@@ -115,6 +141,7 @@ FROM used JOIN d USING (win) WHERE {width} - used < floor({width} * exp(-(3 + de
 
 def oracle_sql() -> dict[str, str]:
     out = {f"{name}_{m}": _query(name, m) for name in QUERIES for m in ("itw", "isw", "tw1", "otw", "osw")}
+    out |= {f"{name}_{m}": _switch(name, m) for name in QUERIES for m in ("tw1a", "tw2a", "otwa", "oswa")}
     flow, pair = ", ".join(FLOW), ", ".join(PAIR)
     out["flow_size_isw"] = f"{_flow_windows()} SELECT * FROM f"
     out["heavy_hitters_isw"] = f"{_flow_windows()} SELECT DISTINCT {flow} FROM f WHERE bytes > 45"
@@ -132,11 +159,33 @@ m AS (SELECT coalesce(r.win, b.win) AS win, r.dst_ip IS NOT NULL AS f, b.dst_ip
 c AS (SELECT win, count(*) FILTER (WHERE f AND t) AS tp, count(*) FILTER (WHERE f AND NOT t) AS fp, count(*) FILTER (WHERE t AND NOT f) AS fn FROM m GROUP BY win)
 SELECT *, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 1.0), 9) AS precision, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 1.0), 9) AS recall,
   round(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0.0::DOUBLE END, 9) AS f1 FROM c"""
+    switch = ("tw1a", "tw2a", "otwa", "oswa", "itw")
+    every = " UNION ALL ".join(_sets(name, m) for name in QUERIES for m in switch)
+    cells = ", ".join(f"max(CASE WHEN mechanism = '{m}' THEN round({c}, 6) END) AS {c}_{m}" for c in ("precision", "recall") for m in switch)
+    out["pr_table"] = f"""WITH r AS ({every}), b AS ({real}), n AS (SELECT query, count(*) AS real FROM b GROUP BY query),
+m AS (SELECT r.query, r.mechanism, CAST(count(b.key) AS DOUBLE) / count(*) AS precision, CAST(count(b.key) AS DOUBLE) / any_value(n.real) AS recall
+FROM r LEFT JOIN b ON r.query = b.query AND r.key = b.key JOIN n ON n.query = r.query GROUP BY r.query, r.mechanism) SELECT query, {cells} FROM m GROUP BY query"""
+    means = []
+    for m, sql in (("osw", _query("ddos", "osw")), ("oswa", _switch("ddos", "oswa"))):
+        means.append(f"""SELECT '{m}' AS mechanism, round(avg(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 1.0)), 9) AS precision, round(avg(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 1.0)), 9) AS recall
+FROM (SELECT coalesce(r.win, b.win) AS win, count(*) FILTER (WHERE r.win IS NOT NULL AND b.win IS NOT NULL) AS tp, count(*) FILTER (WHERE b.win IS NULL) AS fp, count(*) FILTER (WHERE r.win IS NULL) AS fn
+FROM ({sql}) r FULL JOIN ({_query('ddos', 'isw')}) b ON r.win = b.win AND r.dst_ip = b.dst_ip GROUP BY 1)""")
+    out["pr_average"] = " UNION ALL ".join(means)
+    share = "SELECT '{0}' AS measure, round(coalesce(CAST((SELECT count(*) FROM ({2})) AS DOUBLE) / nullif((SELECT count(*) FROM ({1})), 0), 1.0), 9) AS recall"
+    out["ideal_recall"] = " UNION ALL ".join(share.format(x, out[f"{x}_isw"], out[f"{x}_tw"]) for x in ("heavy_hitters", "superspreaders"))
+    found, exact, aligned = (f"SELECT DISTINCT src_ip FROM ({x})" for x in (_switch("superspreader", "oswa"), _query("superspreader", "isw"), _query("superspreader", "itw")))
+    out["restricted_tp"] = f"""WITH r AS ({found}), b AS ({exact}), a AS ({aligned}) SELECT (SELECT count(*) FROM r WHERE src_ip IN (FROM b) AND src_ip IN (FROM a)) AS tp,
+(SELECT count(*) FROM r WHERE src_ip NOT IN (FROM b)) AS fp, (SELECT count(*) FROM b WHERE src_ip NOT IN (FROM r)) AS fn"""
+    out["relative_errors"] = f"{_HEAD}, {_count_min('SELECT * FROM p', PAIR, 2, 61)} SELECT {pair}, round(CAST(abs(est - exact) AS DOUBLE) / exact, 9) AS error FROM e"
+    panes = _spread_sketch("SELECT * FROM p WHERE pane < closed", "pane", 1)
+    out["spread_merged"] = f"""SELECT win, src_ip, CAST(sum(est) AS BIGINT) AS est FROM ({panes}) s JOIN (SELECT CAST(unnest(range((SELECT max(closed) FROM ({_HEAD} SELECT closed FROM p)))) AS BIGINT) AS win) w
+ON w.win BETWEEN pane AND pane + {N - 1} WHERE win >= {N - 1} GROUP BY ALL HAVING sum(est) > 4"""
     out["collapse_stride"] = f"""SELECT DISTINCT s.step, dst_ip FROM ({_query('new_tcp_connections', 'isw')}) r JOIN (SELECT CAST(unnest(range(1000)) AS BIGINT) AS step) s ON win BETWEEN 4 + 3 * s.step AND 8 + 3 * s.step"""
     out["topk_hotkeys"] = f"{_HEAD} SELECT src_ip, dst_port, count(*) AS packets FROM p GROUP BY ALL ORDER BY packets DESC, src_ip, dst_port LIMIT 25"
     out["pinned_hotkeys"] = f"""{_HEAD}, h AS (SELECT src_ip, dst_port FROM p GROUP BY ALL ORDER BY count(*) DESC, src_ip, dst_port LIMIT 25),
-c AS (SELECT src_ip, dst_port, count(*) AS packets FROM p WHERE turn = 0 AND turn < turns GROUP BY ALL)
-SELECT src_ip, dst_port, coalesce(packets, 0) AS packets FROM c FULL JOIN h USING (src_ip, dst_port)"""
+c AS (SELECT turn AS win, src_ip, dst_port, count(*) AS packets FROM p WHERE turn < turns GROUP BY ALL),
+w AS (SELECT unnest(range((SELECT max(turns) FROM p))) AS win), k AS (SELECT win, src_ip, dst_port FROM w, h UNION SELECT win, src_ip, dst_port FROM c)
+SELECT CAST(win AS BIGINT) AS win, src_ip, dst_port, coalesce(packets, 0) AS packets FROM k LEFT JOIN c USING (win, src_ip, dst_port)"""
     out["quantile_vals"] = f"""{_HEAD}, s AS (SELECT turn AS win, src_ip, CAST(sum(size) AS BIGINT) AS bytes FROM p WHERE turn < turns GROUP BY ALL), l AS (SELECT win, list_sort(list(bytes)) AS v FROM s GROUP BY win)
 SELECT CAST(win AS BIGINT) AS win, share, v[CAST(floor(len(v) * share) AS BIGINT) + 1] AS value FROM l, (SELECT CAST(unnest([0.5, 0.9, 0.99]) AS DOUBLE) AS share)"""
     out["cm_point"] = f"{_HEAD}, {_count_min('SELECT * FROM p', PAIR, DEPTH, WIDTH)} SELECT {pair}, est, exact FROM e"
@@ -164,7 +213,7 @@ s AS (SELECT win, count(*) AS used, sum(pow(0.5, rank)) AS power FROM m GROUP BY
     out["lookup_vs_dump"] = f"{_HEAD}, {single} SELECT plan, dst_ip, est FROM e, (SELECT unnest(['lookup', 'dump', 'candidates']) AS plan)"
     turn = f"(pos * {N} // 257)"
     places = " UNION ALL ".join(f"SELECT pane, {i} AS row, {position_sql('(dst_ip % 2147483647)', i, 257)} AS pos, size FROM p WHERE pane < closed" for i in range(2))
-    out["sliding_cm"] = f"""{_HEAD}, c AS ({places}) SELECT win, CAST(row AS INTEGER) AS row, pos, CAST(sum(size) AS BIGINT) AS val FROM c JOIN (SELECT CAST(unnest(range(100)) AS BIGINT) AS win) w
+    out["sliding_cm"] = f"""{_HEAD}, c AS ({places}) SELECT win, CAST(row AS INTEGER) AS row, pos, CAST(sum(size) AS BIGINT) AS val FROM c JOIN (SELECT CAST(unnest(range((SELECT max(closed) FROM p))) AS BIGINT) AS win) w
 ON w.win >= c.pane AND c.pane > win - ((win - {turn}) % {N} + {N}) % {N} - {N} GROUP BY ALL"""
     out["drifting"] = f"""WITH RECURSIVE packets AS ({PACKETS_SQL}), s AS (SELECT min(us) AS start FROM packets UNION ALL SELECT (SELECT min(us) FROM packets WHERE us > s.start + {PANE}) FROM s WHERE s.start IS NOT NULL),
 n AS (SELECT start, lead(start) OVER (ORDER BY start) AS until, row_number() OVER (ORDER BY start) - 1 AS pane FROM s WHERE start IS NOT NULL)
