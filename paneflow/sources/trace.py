@@ -78,9 +78,7 @@ class TraceWriter(DataSourceWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path = path
         os.makedirs(path, exist_ok=True)
-        if overwrite:
-            for x in _files(path):
-                os.remove(x)
+        self.old = _files(path) if overwrite else []  # removed when the job has succeeded
 
     def write(self, iterator):
         name = os.path.join(self.path, f".{uuid.uuid4().hex}")
@@ -95,6 +93,8 @@ class TraceWriter(DataSourceWriter):
         return _Written(name)
 
     def commit(self, messages):
+        for x in self.old:
+            os.remove(x)
         for i, m in enumerate(x for x in messages if x):
             os.rename(m.path, os.path.join(self.path, f"part-{i:05d}-{uuid.uuid4().hex[:8]}.trace"))
 
