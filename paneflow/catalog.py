@@ -30,6 +30,8 @@ DEPTH, WIDTH = 4, 1021
 PAIR = ["src_ip", "dst_ip"]
 FLOW = list(truth.FLOW)
 PLAIN = WindowSpec(SPEC.pane, SPEC.panes)
+#: Microseconds that a packet takes to the far end, so that the last ones of a pane come too late.
+LATE = HOUR // 20
 #: A switch's memory that makes some elements and keys of the packet view collide.
 PLANE = plans.Plane(bits=2048, counters=128)
 
@@ -291,6 +293,63 @@ def sliding_cm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.rotating_counters(rows, ["dst_ip"], "size", 2, 257, PLAIN.panes)
 
 
+def sliding_lc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows by linear counting in a sliding sketch."""
+    width = 65_537
+    bits = sketches.linear_bits(_panes(spark, sf_dir), FLOW, width, ["pane", "closed"])
+    held = sketches.rotate(bits, f"pos * {PLAIN.panes} div {width}", PLAIN.panes).filter(f"win >= {PLAIN.panes - 1}")
+    return sketches.linear_estimate(held.select("win", "pos").distinct(), width, ["win"])
+
+
+def sliding_hll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows by HyperLogLog in a sliding sketch."""
+    width = 4_099
+    regs = sketches.registers(_panes(spark, sf_dir), FLOW, width, ["pane", "closed"])
+    held = sketches.rotate(regs, f"pos * {PLAIN.panes} div {width}", PLAIN.panes).filter(f"win >= {PLAIN.panes - 1}")
+    return sketches.hyperloglog_estimate(held.groupBy("win", "pos").agg(F.max("rank").alias("rank")), width, ["win"])
+
+
+def sliding_vbf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spreaders by a vector Bloom filter in a sliding sketch, aged row after row, for the sources of the window."""
+    rows, height = _panes(spark, sf_dir), 1024
+    bits = sketches.vector_bits(rows, "src_ip", "dst_ip", height, 257, ["pane", "closed"])
+    held = sketches.rotate(bits, f"(array * {height} + row) * {PLAIN.panes} div {5 * height}", PLAIN.panes).filter(f"win >= {PLAIN.panes - 1}")
+    sources = to_windows(rows.select("pane", "closed", "src_ip").distinct(), PLAIN).filter(f"win >= {PLAIN.panes - 1}")
+    return sketches.vector_query(held.distinct(), sources, "src_ip", height, 257, ["win"], 3)
+
+
+def sliding_ss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spreaders by a spread sketch in a sliding sketch; a bucket's candidate is the better one of both copies."""
+    placed = sketches.spread_places(_panes(spark, sf_dir), "src_ip", "dst_ip", DEPTH, 257, SHAPE, ["pane", "closed"])
+    held = sketches.rotate(placed, f"pos * {PLAIN.panes} div 257", PLAIN.panes).filter(f"win >= {PLAIN.panes - 1}")
+    bits, candidates = sketches.spread_cells(held, "src_ip", ["win"])
+    return sketches.spread_query(bits, candidates, "src_ip", DEPTH, 257, SHAPE, ["win"], 3)
+
+
+def _sliding_ordered(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    width, threshold = (WIDTH, None) if kind == "sumax" else (257, 40)
+    return ordered.sliding_estimates(_panes(spark, sf_dir), kind, PAIR, "size", PLAIN.panes, DEPTH, width, threshold)
+
+
+def loss_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows that seem to lose packets between two ends, against those that do: the far end also misses, in each pane, what comes so late that the pane has ended there."""
+    sent = _panes(spark, sf_dir)
+    start = event_packets(spark, sf_dir).agg(F.min("us").alias("t0"))
+    late = F.expr(f"(us - t0) % {PLAIN.pane}L + {LATE}L >= {PLAIN.pane}L")
+    received = sent.filter("seq % 97 <> 0").crossJoin(F.broadcast(start)).filter(~late)  # one row
+    missing = truth.lost_packets(sent, received, ["pane", "seq"])
+    return metrics.precision_recall(missing, sent.filter("seq % 97 = 0"), FLOW).select("tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+def pinned_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of each sliding window by source and port; a key that leaves the window goes, unless it is a hot key, which stays at 0."""
+    keys, rows = ["src_ip", "dst_port"], _panes(spark, sf_dir)
+    hot = truth.hot_keys(event_packets(spark, sf_dir), keys, 25)
+    windows = rows.agg(F.max("closed").alias("closed")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("closed") - 1)).alias("win"))
+    counts = to_windows(rows.groupBy("pane", "closed", *keys).agg(F.count(F.lit(1)).alias("packets")), PLAIN)
+    return truth.pinned(counts.groupBy("win", *keys).agg(F.sum("packets").alias("packets")), hot, keys, ["packets"], windows)
+
+
 def drifting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = drifting_panes(event_packets(spark, sf_dir), 6 * HOUR)
     return rows.groupBy("pane").agg(F.min("us").alias("start"), F.count(F.lit(1)).alias("packets"))
@@ -327,7 +386,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[f.__name__] = f
     for f in (drifting, keys_extracted, error_report, pr_table, pr_average, ideal_recall, restricted_tp, relative_errors, spread_merged):
         out[f.__name__] = f
+    for f in (sliding_lc, sliding_hll, sliding_vbf, sliding_ss, loss_report, pinned_sliding):
+        out[f.__name__] = f
     out |= {kind: partial(_ordered, kind) for kind in ordered.KINDS}
+    out |= {f"sliding_{kind}": partial(_sliding_ordered, kind) for kind in ("sumax", "mv", "hashpipe")}
     return out
 
 

@@ -157,17 +157,25 @@ def resolution_estimate(bits: DataFrame, shape: MultiResolution, by: list[str])
 # ---- superspreaders
 
 
-def spread_sketch(df: DataFrame, source: str, dst: str, depth: int, width: int, shape: MultiResolution, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Bits (by, row, pos, level, bit), and the candidate of each bucket: the source with the highest level, the latest of these."""
+def spread_places(df: DataFrame, source: str, dst: str, depth: int, width: int, shape: MultiResolution, by: list[str]) -> DataFrame:
+    """What packets set (by, source, level, bit, at, row, pos); at: when this last happened."""
     x = df.select(*by, source, dst, "us", "seq", fold(source, dst).alias("pair")).withColumn("x", position("pair", 2, 2**31 - 1))
     x = x.withColumn("level", F.expr(shape.level_sql("x")).cast("int")).withColumn("bit", F.expr(shape.bit_sql("x", "level")))
     latest = x.groupBy(*by, source, "level", "bit").agg(F.max(F.struct("us", "seq")).alias("at"))
-    placed = _positions(latest, [source], depth, width)
+    return _positions(latest, [source], depth, width)
+
+
+def spread_cells(placed: DataFrame, source: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Bits (by, row, pos, level, bit), and the candidate of each bucket: the source with the highest level, the latest of these."""
     bits = placed.select(*by, "row", "pos", "level", "bit").distinct()
     candidates = placed.groupBy(*by, "row", "pos").agg(F.max_by(source, F.struct("level", "at")).alias(source))
     return bits, candidates
 
 
+def spread_sketch(df: DataFrame, source: str, dst: str, depth: int, width: int, shape: MultiResolution, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    return spread_cells(spread_places(df, source, dst, depth, width, shape, by), source, by)
+
+
 def spread_query(bits: DataFrame, candidates: DataFrame, source: str, depth: int, width: int, shape: MultiResolution, by: list[str], threshold: int = 0) -> DataFrame:
     """est of each candidate above the threshold: the least estimate of its buckets."""
     buckets = resolution_estimate(bits, shape, [*by, "row", "pos"]).withColumnRenamed("est", "one")
@@ -261,24 +269,23 @@ def lost_ids(sent: DataFrame, received: DataFrame, ident: str, size: int, hashes
 # ---- sliding sketches
 
 
-def rotating_counters(df: DataFrame, keys: list[str], value: str, depth: int, width: int, panes: int) -> DataFrame:
-    """Counters (win, row, pos, val) of a sliding sketch with a new and an old copy of each cell.
+def rotate(cells: DataFrame, turn: str, panes: int) -> DataFrame:
+    """cells, with `pane`, once for each window `win` in which a sliding sketch with a new and an old copy of each cell holds them.
 
-    With each pane a share of 1 / panes of the cells of every row is aged in turn: the old copy takes the new one's value, and
-    the new one starts at 0. A query adds both, so it covers between one and two windows; cell pos is aged at the end of
-    pane p where p % panes is pos * panes div width. Where df has `closed`, the number of closed panes, windows end with the
+    With each pane a share of 1 / panes of the cells is aged in turn: the old copy takes the new one's value, and the new one
+    starts empty. A query takes both together, so it covers between one and two windows; a cell is aged at the end of pane p
+    where p % panes is `turn`, an SQL expression. Where cells have `closed`, the number of closed panes, windows end with the
     last of them.
     """
-    bounded = "closed" in df.columns
-    cells = count_min(df, keys, value, depth, width, ["pane", "closed"] if bounded else ["pane"])
-    turn = F.expr(f"pos * {panes} div {width}")
-    aged = cells.withColumn("turn", turn)
-    # last ageing at or before the end of window w: l = w - (w - turn) mod panes; panes from l - panes + 1 to w still count
     last = F.col("pane") + (2 * panes - 1)
-    last = F.least(last, F.col("closed") - 1) if bounded else last
-    wins = F.explode(F.sequence(F.col("pane"), last)).alias("win")
-    spread = aged.select("pane", "row", "pos", "val", "turn", wins)
+    last = F.least(last, F.col("closed") - 1) if "closed" in cells.columns else last
+    spread = cells.withColumn("turn", F.expr(turn)).withColumn("win", F.explode(F.sequence(F.col("pane"), last)))
+    # last ageing at or before the end of window w: l = w - (w - turn) mod panes; panes from l - panes + 1 to w still count
     start = F.col("win") - F.pmod(F.col("win") - F.col("turn"), F.lit(panes)) - (panes - 1)
-    return spread.filter(F.col("pane") >= start).groupBy("win", "row", "pos").agg(F.sum("val").alias("val"))
+    return spread.filter(F.col("pane") >= start).drop("turn", "pane", "closed")
 
 
+def rotating_counters(df: DataFrame, keys: list[str], value: str, depth: int, width: int, panes: int) -> DataFrame:
+    """Counters (win, row, pos, val) of a sliding Count-Min; cells of a row are aged in the order of pos."""
+    cells = count_min(df, keys, value, depth, width, ["pane", "closed"] if "closed" in df.columns else ["pane"])
+    return rotate(cells, f"pos * {panes} div {width}", panes).groupBy("win", "row", "pos").agg(F.sum("val").alias("val"))

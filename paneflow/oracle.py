@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import DEPTH, FLOW, PAIR, PLANE, QUERIES, SHAPE, SPEC, WIDTH
+from .catalog import DEPTH, FLOW, LATE, PAIR, PLANE, QUERIES, SHAPE, SPEC, WIDTH
 from .functions.hashing import fold_sql, position_sql, trailing_zeros_sql
 from .operators.sketches import hyperloglog_sql, slice_rows
 from .sources.packets import PACKETS_SQL
@@ -118,21 +118,32 @@ def _resolution(rows: str, element: str, by: str) -> str:
 z AS (SELECT {by}, {sums} FROM v GROUP BY {by})"""
 
 
-def _spread_sketch(rows: str = _TUMBLING, win: str = "win", least: int = 3) -> str:
+def _held(rows: str, turn: str) -> str:
+    """Rows of panes once for each complete window in which a sliding sketch holds them; turn: when their cell is aged."""
+    wins = "SELECT CAST(unnest(range((SELECT max(closed) FROM p))) AS BIGINT) AS win"
+    return f"SELECT c.*, w.win FROM ({rows}) c JOIN ({wins}) w ON w.win >= {N - 1} AND w.win >= c.pane AND c.pane > w.win - ((w.win - {turn}) % {N} + {N}) % {N} - {N}"
+
+
+def _spread_sketch(rows: str = _TUMBLING, win: str = "win", least: int = 3, turn: str = "") -> str:
     level, bit = SHAPE.level_sql("x"), SHAPE.bit_sql("x", "level")
     places = " UNION ALL ".join(f"SELECT *, {i} AS row, {position_sql('(src_ip % 2147483647)', i, 257)} AS pos FROM l" for i in range(DEPTH))
     sums = ", ".join(f"CAST(count(DISTINCT CASE WHEN level = {i} THEN bit END) AS BIGINT) AS s{i}" for i in range(SHAPE.levels))
     asked = " UNION ALL ".join(f"SELECT DISTINCT {win}, src_ip, {i} AS row, {position_sql('(src_ip % 2147483647)', i, 257)} AS pos FROM k" for i in range(DEPTH))
     return f"""{_HEAD}, l AS (SELECT *, {bit} AS bit FROM (SELECT *, {level} AS level FROM (SELECT *, {position_sql(fold_sql(*PAIR), 2, 2**31 - 1)} AS x FROM ({rows})))),
-m AS ({places}), k AS (SELECT {win}, row, pos, arg_max(src_ip, (level, us, seq)) AS src_ip FROM m GROUP BY ALL),
+m AS ({_held(places, turn) if turn else places}), k AS (SELECT {win}, row, pos, arg_max(src_ip, (level, us, seq)) AS src_ip FROM m GROUP BY ALL),
 z AS (SELECT {win}, row, pos, {sums} FROM m GROUP BY {win}, row, pos), q AS (SELECT {win}, row, pos, {SHAPE.estimate_sql([f's{i}' for i in range(SHAPE.levels)])} AS one FROM z), a AS ({asked})
 SELECT CAST({win} AS BIGINT) AS {win}, src_ip, min(one) AS est FROM a JOIN q USING ({win}, row, pos) GROUP BY ALL HAVING min(one) > {least}"""
 
 
-def _vector() -> str:
+def _vector(sliding: bool = False) -> str:
     rows, width = 1024, 257
-    places = " UNION ALL ".join(f"SELECT DISTINCT win, src_ip, dst_ip, {i} AS arr, {e} AS row, {position_sql(fold_sql(*PAIR), 4, width)} AS col FROM ({_TUMBLING})" for i, e in enumerate(slice_rows("src_ip", rows)))
-    return f"""{_HEAD}, m AS ({places}), bits AS (SELECT DISTINCT win, arr, row, col FROM m), own AS (SELECT DISTINCT win, src_ip, arr, row FROM m),
+    by, of = ("pane", "SELECT * FROM p WHERE pane < closed") if sliding else ("win", _TUMBLING)
+    places = " UNION ALL ".join(f"SELECT DISTINCT {by}, src_ip, dst_ip, {i} AS arr, {e} AS row, {position_sql(fold_sql(*PAIR), 4, width)} AS col FROM ({of})" for i, e in enumerate(slice_rows("src_ip", rows)))
+    m, own = places, "m"
+    if sliding:
+        m = _held(places, f"((arr * {rows} + row) * {N} // {5 * rows})")
+        own = f"(SELECT s.*, w.win FROM ({places}) s JOIN (SELECT CAST(unnest(range((SELECT max(closed) FROM p))) AS BIGINT) AS win) w ON w.win >= {N - 1} AND w.win BETWEEN pane AND pane + {N - 1})"
+    return f"""{_HEAD}, m AS ({m}), bits AS (SELECT DISTINCT win, arr, row, col FROM m), own AS (SELECT DISTINCT win, src_ip, arr, row FROM {own}),
 c AS (SELECT win, src_ip, col FROM own JOIN bits USING (win, arr, row) GROUP BY ALL HAVING count(*) = 5), used AS (SELECT win, src_ip, count(*) AS used FROM c GROUP BY ALL),
 d AS (SELECT win, -{width} * ln(v * (2 - v)) AS delta FROM (SELECT win, CAST({width * rows} - count(*) AS DOUBLE) / {width * rows} AS v FROM bits WHERE arr = 4 GROUP BY ALL))
 SELECT CAST(win AS BIGINT) AS win, src_ip, CAST(floor({width} * ln({float(width)} / greatest({width} - used, 1)) - delta) AS BIGINT) AS est
@@ -215,6 +226,23 @@ s AS (SELECT win, count(*) AS used, sum(pow(0.5, rank)) AS power FROM m GROUP BY
     places = " UNION ALL ".join(f"SELECT pane, {i} AS row, {position_sql('(dst_ip % 2147483647)', i, 257)} AS pos, size FROM p WHERE pane < closed" for i in range(2))
     out["sliding_cm"] = f"""{_HEAD}, c AS ({places}) SELECT win, CAST(row AS INTEGER) AS row, pos, CAST(sum(size) AS BIGINT) AS val FROM c JOIN (SELECT CAST(unnest(range((SELECT max(closed) FROM p))) AS BIGINT) AS win) w
 ON w.win >= c.pane AND c.pane > win - ((win - {turn}) % {N} + {N}) % {N} - {N} GROUP BY ALL"""
+    every = "SELECT * FROM p WHERE pane < closed"
+    held = _held(f"SELECT DISTINCT pane, {position_sql(key, 0, 65537)} AS pos FROM ({every})", f"(pos * {N} // 65537)")
+    out["sliding_lc"] = f"{_HEAD} SELECT win, CAST(floor(-65537 * ln(CAST(nullif(65537 - count(DISTINCT pos), 0) AS DOUBLE) / 65537)) AS BIGINT) AS est FROM ({held}) GROUP BY win"
+    held = _held(f"SELECT pane, {position_sql(key, 0, 4099)} AS pos, {position_sql(key, 1, 2**31 - 1)} AS x FROM ({every})", f"(pos * {N} // 4099)")
+    out["sliding_hll"] = f"""{_HEAD}, m AS (SELECT win, pos, max({trailing_zeros_sql('x')} + 1) AS rank FROM ({held}) GROUP BY win, pos),
+s AS (SELECT win, count(*) AS used, sum(pow(0.5, rank)) AS power FROM m GROUP BY win) SELECT win, {hyperloglog_sql(4099)} AS est FROM s"""
+    out["sliding_vbf"] = _vector(True)
+    out["sliding_ss"] = _spread_sketch(every, turn=f"(pos * {N} // 257)")
+    out["loss_report"] = f"""{_HEAD}, b AS (SELECT DISTINCT {flow} FROM p WHERE pane < closed AND seq % 97 = 0),
+r AS (SELECT DISTINCT {flow} FROM p, t WHERE pane < closed AND (seq % 97 = 0 OR (us - t0) % {PANE} + {LATE} >= {PANE})),
+c AS (SELECT (SELECT count(*) FROM r SEMI JOIN b USING ({flow})) AS tp, (SELECT count(*) FROM r ANTI JOIN b USING ({flow})) AS fp, (SELECT count(*) FROM b ANTI JOIN r USING ({flow})) AS fn)
+SELECT *, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 1.0), 9) AS precision, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 1.0), 9) AS recall,
+  round(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0.0::DOUBLE END, 9) AS f1 FROM c"""
+    out["pinned_sliding"] = f"""{_HEAD}, h AS (SELECT src_ip, dst_port FROM p GROUP BY ALL ORDER BY count(*) DESC, src_ip, dst_port LIMIT 25),
+c AS (SELECT win, src_ip, dst_port, count(*) AS packets FROM ({_SLIDING}) GROUP BY ALL), w AS (SELECT unnest(range((SELECT max(closed) FROM p))) AS win),
+k AS (SELECT win, src_ip, dst_port FROM w, h UNION SELECT win, src_ip, dst_port FROM c)
+SELECT CAST(win AS BIGINT) AS win, src_ip, dst_port, coalesce(packets, 0) AS packets FROM k LEFT JOIN c USING (win, src_ip, dst_port)"""
     out["drifting"] = f"""WITH RECURSIVE packets AS ({PACKETS_SQL}), s AS (SELECT min(us) AS start FROM packets UNION ALL SELECT (SELECT min(us) FROM packets WHERE us > s.start + {PANE}) FROM s WHERE s.start IS NOT NULL),
 n AS (SELECT start, lead(start) OVER (ORDER BY start) AS until, row_number() OVER (ORDER BY start) - 1 AS pane FROM s WHERE start IS NOT NULL)
 SELECT pane, start, count(*) AS packets FROM n JOIN packets ON us >= start AND (until IS NULL OR us < until) GROUP BY ALL"""

@@ -37,4 +37,4 @@ def test_other_queries_run(spark, name):
 
 
 def test_all_but_ordered_sketches_have_sql():
-    assert set(catalog.queries()) - set(SQL) == {"cu", "sumax", "mv", "hashpipe"}
+    assert set(catalog.queries()) - set(SQL) == {"cu", "sumax", "mv", "hashpipe", "sliding_sumax", "sliding_mv", "sliding_hashpipe"}

@@ -176,3 +176,44 @@ def test_packets_are_checked(spark, packets):
         as_packets(packets.drop("dst_port"))
     with_null = packets.withColumn("size", F.when(F.col("seq") > 0, F.col("size")))
     assert as_packets(with_null).count() == packets.count() - 1
+
+
+@pytest.mark.parametrize("kind, threshold", [("sumax", None), ("mv", 30), ("hashpipe", 30)])
+def test_sliding_ordered_sketches_equal_one_pass_over_the_whole_trace(packets, rows, kind, threshold):
+    """Blocks of windows replayed apart against one sketch that sees every packet from the first on."""
+    depth, width, panes, length = 2, 13, 3, 20
+    panes_of = packets.withColumn("pane", F.expr(f"seq div {length}")).withColumn("closed", F.lit(len(rows) // length).cast("long"))
+    got = ordered.sliding_estimates(panes_of, kind, KEYS, "size", panes, depth, width, threshold).collect()
+    places = lambda k: [int(hashing.numpy_position(np.array([k]), i, width)[0]) for i in range(depth)]
+    new, old = ordered.KINDS[kind](depth, width), ordered.KINDS[kind](depth, width)
+    seen, expect = {}, []
+    for pane in range(len(rows) // length):
+        for r in rows[pane * length : (pane + 1) * length]:
+            folded = 0
+            for c in r[2:4]:
+                folded = (folded * 1000003 + c) % hashing.PRIME
+            new.insert(folded, r[8], places(folded))
+            seen[folded] = (pane, r[2:4])
+        for pos in range(width):
+            if pos * panes // width == pane % panes:
+                for name, empty in new.STATE.items():
+                    getattr(old, name)[:, pos] = getattr(new, name)[:, pos]
+                    getattr(new, name)[:, pos] = empty
+        if pane < panes - 1:
+            continue
+        for k, (last, key) in seen.items():
+            listed = last > pane - panes if threshold is None else k in new.candidates() | old.candidates()
+            est = int(type(new).joined(a + b for a, b in zip(new.parts(k, places(k)), old.parts(k, places(k)))))
+            if listed and (threshold is None or est > threshold):
+                expect.append((pane, *key, est))
+    assert sorted(map(tuple, got)) == sorted(expect) and len({x[0] for x in expect}) > 5 * panes
+
+
+def test_no_sliding_form_of_conservative_updates(packets):
+    with pytest.raises(ValueError):
+        ordered.sliding_estimates(packets, "cu", KEYS, "size", 3)
+
+
+def test_sliding_ordered_sketches_of_nothing(packets):
+    empty = packets.limit(0).withColumn("pane", F.lit(0).cast("long")).withColumn("closed", F.lit(0).cast("long"))
+    assert ordered.sliding_estimates(empty, "mv", KEYS, "size", 3, threshold=1).collect() == []
