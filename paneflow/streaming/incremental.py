@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,49 +13,63 @@ _OUT = "win long, key long, value long"
 
 
 class SlidingSum(StatefulProcessor):
-    """Per key the last panes' sums and their total. Late panes of a key are dropped; a total of 0 takes the key out of the state.
+    """Per key the sums of the panes that a window to come still needs, their total in the next window, and a timer for its end.
 
-    A window is reported for each pane that a key has packets in or is still counted in, up to the newest pane that the key has
-    seen; later windows follow when the watermark passes them.
+    A window is reported when the watermark reaches its end, also when the key has no packets any more. With its last pane a key
+    leaves the state. A pane whose end the watermark has passed gets no more packets: Spark drops and counts these.
     """
 
-    def __init__(self, panes: int):
-        self.panes = panes
+    def __init__(self, pane: int, panes: int, origin: int):
+        self.pane, self.panes, self.origin = pane, panes, origin
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.ring = handle.getMapState("ring", "pane long", "value long")
-        self.newest = handle.getValueState("newest", "pane long, total long")
-
-    def _advance(self, key, total: int, newest: int, upto: int):
-        """Windows from the newest to the one before upto; afterwards newest is upto."""
-        rows = []
-        while newest < upto and total:
-            rows.append((newest, key, total))
-            newest += 1
-            left = newest - self.panes
-            if self.ring.containsKey((left,)):
-                total -= self.ring.getValue((left,))[0]
-                self.ring.removeKey((left,))
-        return rows, total
+        self.next = handle.getValueState("next", "win long, total long")
+
+    def _end(self, win: int) -> int:
+        """Milliseconds at which a window has ended."""
+        return -(-(self.origin + (win + 1) * self.pane) // 1000)
 
-    def handleInputRows(self, key, rows, timerValues):
+    def _value(self, pane: int) -> int:
+        return self.ring.getValue((pane,))[0] if self.ring.containsKey((pane,)) else 0
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         sums: dict[int, int] = {}
         for part in rows:
             for pane, value in part.groupby("pane")["value"].sum().items():
                 sums[int(pane)] = sums.get(int(pane), 0) + int(value)
-        newest, total = self.newest.get() if self.newest.exists() else (min(sums), 0)
-        out = []
-        for pane in sorted(sums):
-            if pane < newest:
-                continue  # late
-            more, total = self._advance(key[0], total, newest, pane)
-            out += more
-            newest = pane
-            old = self.ring.getValue((pane,))[0] if self.ring.containsKey((pane,)) else 0
-            self.ring.updateValue((pane,), (old + sums[pane],))
-            total += sums[pane]
-        self.newest.update((newest, total))
+        win, total = self.next.get() if self.next.exists() else (min(sums), 0)
+        for pane, value in sums.items():
+            self.ring.updateValue((pane,), (self._value(pane) + value,))
+            total += value if win - self.panes < pane <= win else 0
+        if (first := min(sums)) < win:  # packets before the key's first ones, which come late but not too late
+            win, total = first, sum(self._value(p) for p in range(first - self.panes + 1, first + 1))
+        self.next.update((win, total))
+        self.handle.registerTimer(self._end(win))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.next.exists():
+            return
+        now, (win, total), out = timerValues.getCurrentWatermarkInMs(), self.next.get(), []
+        while self._end(win) <= now:
+            if total:
+                out.append((win, key[0], total))
+            left = win - self.panes + 1
+            total -= self._value(left)
+            if self.ring.containsKey((left,)):
+                self.ring.removeKey((left,))
+            ahead = [pane for (pane,) in self.ring.keys()]
+            if not ahead:
+                self.next.clear()
+                self.ring.clear()
+                break
+            win = max(win + 1, min(ahead))  # a gap as long as a window has no rows
+            total += self._value(win)
+        else:
+            self.next.update((win, total))
+            self.handle.registerTimer(self._end(win))
         if out:
             yield pd.DataFrame(out, columns=["win", "key", "value"])
 
@@ -61,12 +77,13 @@ class SlidingSum(StatefulProcessor):
         pass
 
 
-def sliding_sums(packets: DataFrame, key: str, value: str, pane: int, panes: int, origin: int) -> DataFrame:
-    """win, key, value of a stream of packets in order; needs the RocksDB state store.
+def sliding_sums(packets: DataFrame, key: str, value: str, pane: int, panes: int, origin: int, delay: str = "0 seconds") -> DataFrame:
+    """win, key, value of a stream of packets; needs the RocksDB state store.
 
-    A key's windows are given out as soon as a later pane of that key arrives.
+    The watermark, `delay` behind the newest packet of any key, ends windows. What comes later is dropped by Spark and counted in
+    the progress metric numRowsDroppedByWatermark.
     """
-    rows = packets.filter(F.col("us") >= origin).select(
-        F.col(key).cast("long").alias("key"), F.expr(f"(us - {origin}) div {pane}L").alias("pane"), F.expr(value).cast("long").alias("value")
+    rows = packets.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", delay).filter(F.col("us") >= origin).select(
+        "ts", F.col(key).cast("long").alias("key"), F.expr(f"(us - {origin}) div {pane}L").alias("pane"), F.expr(value).cast("long").alias("value")
     )
-    return rows.groupBy("key").transformWithStateInPandas(SlidingSum(panes), _OUT, "append", "none")
+    return rows.groupBy("key").transformWithStateInPandas(SlidingSum(pane, panes, origin), _OUT, "append", "EventTime")

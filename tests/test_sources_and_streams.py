@@ -82,13 +82,33 @@ def test_incremental_sums_equal_recomputed_ones(spark, stream):
     origin = packets.agg(F.min("us")).first()[0]
     pane, n = catalog.SPEC.pane, catalog.SPEC.panes
     got = collected(spark, incremental.sliding_sums(source, "dst_ip", "size", pane, n, origin), "incremental", folder)
+    closed = (packets.agg(F.max("us")).first()[0] - origin) // pane
     sums = {}
     for r in packets.select(F.expr(f"(us - {origin}) div {pane}L").alias("p"), "dst_ip", "size").collect():
         sums.setdefault(r.dst_ip, {}).setdefault(r.p, 0)
         sums[r.dst_ip][r.p] += r["size"]
     expect = []
     for key, panes in sums.items():
-        for w in range(min(panes), max(panes)):
+        for w in range(min(panes), min(max(panes) + n, closed)):
             if total := sum(panes.get(p, 0) for p in range(w - n + 1, w + 1)):
                 expect.append((w, key, total))
     assert got == sorted(expect)
+    assert {w for w, _, _ in expect} == set(range(closed))
+
+
+def test_incremental_sums_forget_keys_and_count_late_packets(spark, tmp_path):
+    """Four batches: a key comes and goes, another moves the clock on, a packet comes late, and one so early that it closes all."""
+    pane, n, origin = 1_000_000, 3, 10**12
+    batches = [[(0, 1, 5), (500_000, 1, 2)], [(2_100_000, 2, 1), (1_900_000, 1, 4)], [(20_000_000, 2, 9)], [(1_000_000, 1, 100), (40_000_000, 3, 1)], [(60_000_000, 3, 7)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(origin + us, k, v) for us, k, v in rows], "us long, k long, v long").coalesce(1).write.parquet(str(tmp_path / f"in/b={i}"))
+    source = spark.readStream.schema("us long, k long, v long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    out = incremental.sliding_sums(source, "k", "v", pane, n, origin, "1 second")
+    query = out.writeStream.format("memory").queryName("forgets").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = sorted(map(tuple, spark.table("forgets").collect()))
+    sums = {1: {0: 7, 1: 4}, 2: {2: 1, 20: 9}, 3: {40: 1, 60: 7}}
+    expect = [(w, k, t) for k, panes in sums.items() for w in range(59) if (t := sum(panes.get(p, 0) for p in range(w - n + 1, w + 1)))]
+    assert got == sorted(expect)
+    states = [x["stateOperators"][0] for x in query.recentProgress if x["stateOperators"]]
+    assert sum(x["numRowsDroppedByWatermark"] for x in states) == 1
