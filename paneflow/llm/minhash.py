@@ -231,13 +231,13 @@ def _links_between(words: int, alike: tuple[int, int]):
 
 
 class Roots:
-    """Which roots are connected, by the least of them."""
+    """Which numbers are connected, by the least of them."""
 
     def __init__(self, n: int):
         self.of = np.arange(n)
 
     def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Joins pairs of roots; says which pairs were needed."""
+        """Joins pairs; says which were needed."""
         needed = np.zeros(len(a), bool)
         for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
             x, y = sorted((self._top(x), self._top(y)))
@@ -256,7 +256,8 @@ class Roots:
 
 def merge_lists(values: np.ndarray, group: np.ndarray, own: np.ndarray, root: np.ndarray, node: np.ndarray, allowed, matches: int):
     """Of the rows of some posts: pairs of a post's rows with different roots that agree in `matches` coordinates, as many as
-    connect the same roots as all such pairs do.
+    connect the same nodes as all such pairs do. Connecting the same roots wouldn't do: a pair that isn't a link in the end
+    would stand for others of its roots that are.
 
     values: signatures. group: the post, whose coordinate is `own`; root and node: numbers from 0. allowed(rows, rows) says
     which pairs count. In each post every other coordinate's values make lists. Pairs that agree in `matches` coordinates
@@ -265,23 +266,33 @@ def merge_lists(values: np.ndarray, group: np.ndarray, own: np.ndarray, root: np
     `matches` any more.
     """
     coordinates, group = values.shape[1], group.astype(np.int64)
-    roots = Roots(int(root.max()) + 1)
+    joined = Roots(int(node.max()) + 1)
 
-    def lists(k: int):
-        """Rows in order, and of each the rows further on in its list that have another root, from start to end."""
-        rows = np.flatnonzero(own != k)
-        if not len(rows):
-            return rows, rows, rows
-        of = (group[rows] << 16 | values[rows, k]) * len(roots.of)
-        key = of + roots.of[root[rows]]
+    def ordered(rows: np.ndarray, of: np.ndarray, label: np.ndarray):
+        """Rows by list and label, and of each the rows further on in its list that have another label, from start to end; where lists begin."""
+        key = of * (int(label.max()) + 1) + label
         order = np.argsort(key)
         rows, of, key = rows[order], of[order], key[order]
         new, other = np.ones((2, len(rows)), bool)
         new[1:], other[1:] = of[1:] != of[:-1], key[1:] != key[:-1]
         start, end = (np.append(np.flatnonzero(x)[1:], len(rows))[np.cumsum(x) - 1] for x in (other, new))
-        return rows, start, end
+        return rows, start, end, new
 
-    pairs = np.array([int((end - start).sum()) for _, start, end in map(lists, range(coordinates))])
+    def lists(k: int, fresh: bool = False):
+        """Rows, starts and ends of a coordinate's lists, each by root or by what is connected, whichever leaves fewer pairs; fresh: nothing is."""
+        rows = np.flatnonzero(own != k)
+        if not len(rows):
+            return rows, rows, rows
+        of = group[rows] << 16 | values[rows, k]
+        by_root, start, end, new = ordered(rows, of, root[rows])
+        if fresh:
+            return by_root, start, end
+        by_joined, after, _, _ = ordered(rows, of, joined.of[node[rows]])
+        fewer = np.add.reduceat(after - start, np.flatnonzero(new)) > 0
+        fewer = fewer[np.cumsum(new) - 1]
+        return np.where(fewer, by_joined, by_root), np.where(fewer, after, start), end
+
+    pairs = np.array([int((end - start).sum()) for _, start, end in (lists(k, True) for k in range(coordinates))])
     tested = np.zeros(0, np.int64)
     nodes = int(node.max()) + 1
     found = [], []
@@ -291,7 +302,7 @@ def merge_lists(values: np.ndarray, group: np.ndarray, own: np.ndarray, root: np
             n = end[a:b] - start[a:b]
             i = np.repeat(rows[a:b], n)
             j = rows[np.arange(len(i)) + np.repeat(start[a:b] - np.cumsum(n) + n, n)]
-            good = (roots.of[root[i]] != roots.of[root[j]]) & allowed(i, j)
+            good = (root[i] != root[j]) & (joined.of[node[i]] != joined.of[node[j]]) & allowed(i, j)
             i, j = i[good], j[good]
             key, first = np.unique(np.minimum(node[i], node[j]) * nodes + np.maximum(node[i], node[j]), return_index=True)
             new = ~np.isin(key, tested, assume_unique=True)
@@ -305,7 +316,7 @@ def merge_lists(values: np.ndarray, group: np.ndarray, own: np.ndarray, root: np
                 x, y, some = x[may], y[may], some[may]
                 alike = some + (values[x, half:] == values[y, half:]).sum(1) >= matches
                 x, y = x[alike], y[alike]
-                needed = roots.join(root[x], root[y])
+                needed = joined.join(node[x], node[y])
                 found[0].append(node[x[needed]])
                 found[1].append(node[y[needed]])
     return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in found)

@@ -272,6 +272,37 @@ def test_merged_lists_connect_what_all_pairs_connect(seed, monkeypatch):
     assert {frozenset(x) for x in zip(a.tolist(), b.tolist())} <= {frozenset(map(int, x)) for x in every}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_merged_lists_connect_the_nodes_of_all_pairs(seed, monkeypatch):
+    """Two roots that one pair connects may have other pairs, which only are links if the first isn't."""
+    monkeypatch.setattr(minhash, "PAIRS", [5, 1 << 17][seed % 2])
+    same, nodes = np.arange(12), 6 if seed < 2 else 60
+    rng = np.random.default_rng(seed)
+    base = np.stack([same, same + 100, same + 200])
+    base[:, 0] = 7  # all are in one post
+    signature = base[np.arange(nodes) % 3] if seed < 2 else np.where(rng.random((nodes, 12)) < 0.6, base[rng.integers(0, 3, nodes)], rng.integers(0, 400, (nodes, 12)))
+    signature[:, 0] = 7
+    root, node = (np.arange(nodes) // 3 if seed < 2 else rng.integers(0, 5, nodes)), np.arange(nodes)
+    a, b = minhash.merge_lists(signature.astype(np.uint16), np.zeros(nodes, np.int64), np.zeros(nodes, np.int64), root, node, lambda x, y: x >= 0, 5)
+    every = [(x, y) for x in range(nodes) for y in range(x) if root[x] != root[y] and (signature[x] == signature[y]).sum() >= 5]
+    parent = minhash.Roots(nodes)
+    parent.join(a, b)
+    assert every and all(parent.of[x] == parent.of[y] for x, y in every)
+
+
+def test_no_link_between_two_groups_is_lost(spark):
+    """Runs of texts that differ by a few words each: neighbours are linked, those further apart only look alike."""
+    rng, rows = random.Random(8), []
+    for family in range(60):
+        words = ["f%dw%d" % (family, i) for i in range(400)]
+        at = 0
+        for _ in range(12):
+            rows.append((rng.randrange(10**9), " ".join(words[at : at + 100])))
+            at += rng.choice([3, 8, 10, 11, 11])
+    got = minhash.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_near(rows, 2)
+
+
 def test_of_equal_ids_the_same_row_stays(spark):
     rows = [(1, "the first text of this id"), (1, "the second text of this id"), (1, None), (2, "else"), (2, "else")]
     df = frame(spark, rows)
