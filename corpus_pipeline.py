@@ -32,8 +32,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens, by sequence."""
-    return pack_documents(docs, tokenizer_path())
+    """Pieces of the documents' tokens, by sequence; its workers have held the other stages' memory, so they keep fewer ids."""
+    return pack_documents(docs, tokenizer_path(), known=50_000)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("mixing", mixing), ("packing", packing)]

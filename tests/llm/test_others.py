@@ -680,3 +680,18 @@ def test_every_language_is_learned(spark):
     df = docs(spark, rows)
     assert languages.learn(df).languages == [f"l{i:03}" for i in range(205)]
     assert languages.identify_languages(df.limit(10)).count() == 10
+
+
+def test_packing_encodes_and_hands_on_a_bounded_part_at_once(monkeypatch):
+    import pyarrow as pa
+
+    sizes, encode = [], packing.Encoder.encode
+    monkeypatch.setattr(packing.Encoder, "encode", lambda self, texts: sizes.append((len(self.chunks), sum(map(len, texts)))) or encode(self, texts))
+    texts = [" ".join("w%dx%d" % (i, j) for j in range(400)) for i in range(900)]
+    batch = pa.record_batch({"doc_id": pa.array(range(900), pa.int64()), "text": texts})
+    out = list(packing._pack_partition(packing.tokenizer_path(), packing.WINDOW, packing.END, packing.BLOCK_TOKENS, 1000)(iter([batch])))
+    assert len(sizes) > 3 and max(n for _, n in sizes) < packing.AT_ONCE + 10_000
+    assert max(sum(b.column("length").to_pylist()) for b in out) <= 256 * packing.WINDOW
+    whole = packing.Encoder(packing.tokenizer_path()).encode(texts[7:8])[0]
+    mine = sorted((s, x) for b in out for d, s, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "ids"))) if d == 7)
+    assert b"".join(x for _, x in mine) == whole + np.asarray([packing.END], "<u4").tobytes()
