@@ -315,7 +315,7 @@ def sliding_vbf(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = sketches.vector_bits(rows, "src_ip", "dst_ip", height, 257, ["pane", "closed"])
     held = sketches.rotate(bits, f"(array * {height} + row) * {PLAIN.panes} div {5 * height}", PLAIN.panes).filter(f"win >= {PLAIN.panes - 1}")
     sources = to_windows(rows.select("pane", "closed", "src_ip").distinct(), PLAIN).filter(f"win >= {PLAIN.panes - 1}")
-    return sketches.vector_query(held.distinct(), sources, "src_ip", height, 257, ["win"], 3)
+    return sketches.vector_query(sketches.merge_vectors(held, 257, ["win"]), sources, "src_ip", height, 257, ["win"], 3)
 
 
 def sliding_ss(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,30 +192,47 @@ def slice_rows(key: str, rows: int) -> list[str]:
     return [f"({s}) % {rows}" for s in slices] + [position_sql(folded, 3, rows)]
 
 
+def _words(width: int) -> list[str]:
+    """Columns with the bits of a row of a vector Bloom filter, 64 in each."""
+    return [f"b{i}" for i in range(-(-width // 64))]
+
+
 def vector_bits(df: DataFrame, source: str, dst: str, rows: int, width: int, by: list[str]) -> DataFrame:
-    """Set bits (by, array, row, col) of a vector Bloom filter."""
-    pairs = df.select(*by, source, dst).distinct().withColumn("pair", fold(source, dst)).withColumn("col", position("pair", 4, width))
+    """Rows in use (by, array, row, b0, b1, ...) of a vector Bloom filter, each with its set bits in words of 64."""
     places = F.array(*(F.struct(F.lit(i).alias("array"), F.expr(e).alias("row")) for i, e in enumerate(slice_rows(source, rows))))
-    return pairs.withColumn("p", F.explode(places)).select(*by, "p.array", "p.row", "col").distinct()
+    pairs = df.select(*by, source, fold(source, dst).alias("pair")).withColumn("col", position("pair", 4, width)).withColumn("p", F.explode(places))
+    words = [F.expr(f"bit_or(CASE WHEN col div 64 = {i} THEN shiftleft(1L, CAST(col % 64 AS INT)) ELSE 0L END)").alias(w) for i, w in enumerate(_words(width))]
+    return pairs.select(*by, "p.array", "p.row", "col").groupBy(*by, "array", "row").agg(*words)
+
+
+def merge_vectors(bits: DataFrame, width: int, by: list[str]) -> DataFrame:
+    """The union of the rows of several vector Bloom filters."""
+    return bits.groupBy(*by, "array", "row").agg(*(F.bit_or(w).alias(w) for w in _words(width)))
 
 
 def vector_query(bits: DataFrame, sources: DataFrame, source: str, rows: int, width: int, by: list[str], threshold: int = 10) -> DataFrame:
     """est of the sources whose five rows have so many bits in common that their number exceeds the threshold.
 
-    The bits that strangers leave in common, delta, are estimated from the hashed array.
+    The bits that strangers leave in common, delta, are estimated from the hashed array. All words of a filter are one array,
+    whose size is fixed; a source is one row, which looks its words up there.
     """
-    places = F.array(*(F.struct(F.lit(i).alias("array"), F.expr(e).alias("row")) for i, e in enumerate(slice_rows(source, rows))))
-    asked = sources.select(*by, source).distinct().withColumn("p", F.explode(places)).select(*by, source, "p.array", "p.row")
-    common = asked.join(bits, [*by, "array", "row"]).groupBy(*by, source, "col").agg(F.count(F.lit(1)).alias("n")).filter("n = 5")
-    used = common.groupBy(*by, source).agg(F.count(F.lit(1)).alias("used"))
-    free = F.lit(width * rows) - F.count(F.lit(1))
-    v = free.cast("double") / (width * rows)
-    noise = bits.filter("array = 4").groupBy(*by).agg((-width * F.log(v * (2 - v))).alias("delta"))
-    joined = used.join(noise, by) if by else used.crossJoin(noise)  # noise is one row
+    words, n = _words(width), len(_words(width))
+    ones = " + ".join(f"bit_count({w})" for w in words)
+    cells = bits.select(*by, "array", (F.col("array") * rows + F.col("row")).alias("at"), F.array(*words).alias("words"), F.expr(f"CASE WHEN array = 4 THEN {ones} ELSE 0 END").alias("ones"))
+    filters = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("cells"), F.sum("ones").alias("ones"))
+    v = (F.lit(width * rows) - F.col("ones")).cast("double") / (width * rows)
+    gap = f"array_repeat(0L, CAST((x.at - coalesce(get(cells, i - 1).at + 1, 0)) * {n} AS INT))"
+    filters = filters.select(*by, F.expr(f"flatten(transform(cells, (x, i) -> concat({gap}, x.words)))").alias("words"), (-width * F.log(v * (2 - v))).alias("delta"))
+    places = [F.expr(f"CAST(({i * rows} + {e}) * {n} AS INT)").alias(f"p{i}") for i, e in enumerate(slice_rows(source, rows))]
+    asked = sources.select(*by, source).distinct()
+    joined = asked.join(filters.hint("shuffle_hash"), by) if by else asked.crossJoin(F.broadcast(filters))  # filters is one row
+    common = [" & ".join(f"get(words, p{i} + {w})" for i in range(len(places))) for w in range(n)]
+    used = F.expr(" + ".join(f"coalesce(bit_count({c}), 0)" for c in common)).alias("used")
+    found = joined.select(*by, source, "delta", "words", *places).select(*by, source, "delta", used).filter("used > 0")
     zeros = F.lit(width) - F.col("used")
     limit = F.floor(width * F.exp(-(threshold + F.col("delta")) / width))
     est = F.floor(width * F.log(F.lit(float(width)) / F.greatest(zeros, F.lit(1))) - F.col("delta")).cast("long")
-    return joined.filter(zeros < limit).select(*by, source, est.alias("est"))
+    return found.filter(zeros < limit).select(*by, source, est.alias("est"))
 
 
 # ---- loss digest

@@ -131,6 +131,28 @@ def test_spread_estimates(spark):
     assert [r.src_ip for r in vector] == [1] and 150 < vector[0].est < 250
 
 
+def test_vector_filter_is_no_larger_than_its_rows(spark):
+    rows = [(i, i, 1 + i % 90, i * 7 % 40, 0, 0, 6, 2, 40) for i in range(3000)] + [(4000 + i, 4000 + i, 5, 100 + i, 0, 0, 6, 2, 40) for i in range(60)]
+    df = spark.createDataFrame(rows, PACKETS).withColumn("win", F.expr("seq % 2"))
+    bits = sketches.vector_bits(df, "src_ip", "dst_ip", 64, 257, ["win"])
+    assert bits.count() <= 2 * 5 * 64
+    places = [F.expr(e).alias(f"r{i}") for i, e in enumerate(sketches.slice_rows("src_ip", 64))]
+    at = df.withColumn("pair", hashing.fold("src_ip", "dst_ip")).select("win", "src_ip", hashing.position("pair", 4, 257).alias("col"), *places).collect()
+    held = defaultdict(set)
+    for r in at:
+        for i in range(5):
+            held[r.win, i, r[f"r{i}"]].add(r.col)
+    expect = {}
+    for r in at:
+        used = len(set.intersection(*(held[r.win, i, r[f"r{i}"]] for i in range(5))))
+        v = 1 - sum(len(held[r.win, 4, k]) for k in range(64) if (r.win, 4, k) in held) / (257 * 64)
+        delta = -257 * np.log(v * (2 - v))
+        if 257 - used < np.floor(257 * np.exp(-(3 + delta) / 257)):
+            expect[r.win, r.src_ip] = int(np.floor(257 * np.log(257 / max(257 - used, 1)) - delta))
+    got = sketches.vector_query(bits, df, "src_ip", 64, 257, ["win"], 3)
+    assert expect and {(r.win, r.src_ip): r.est for r in got.collect()} == expect
+
+
 def test_metrics(spark):
     result, real = spark.createDataFrame([(0, 1), (0, 2), (1, 5)], "win long, k long"), spark.createDataFrame([(0, 2), (0, 3), (2, 7)], "win long, k long")
     by_win = {r.win: (r.tp, r.fp, r.fn, r.precision, r.recall) for r in metrics.precision_recall(result, real, ["k"], ["win"]).collect()}
