@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,45 +75,93 @@ def first_windows(panes: DataFrame, spec: WindowSpec, of: list[str]) -> DataFram
     return panes.withColumn("start", F.greatest(F.col("pane"), F.coalesce(before + spec.panes, F.col("pane"))))
 
 
-def _carried(rows: DataFrame, value: str, span: int, later: bool) -> DataFrame:
-    """rows (us, kind, `value`) with `value` filled from the next (later) or the last row that has one, in the order of us, kind.
+#: What one task follows: so many panes, then so many of the blocks that these make, and so on. Rows that the driver follows at
+#: most, and that are broadcast at most.
+FAN, FEW = 16, 1 << 18
 
-    Ranges of `span` microseconds are filled apart; what comes from beyond a range is one value for each range.
+
+def _followed(rows: pa.Table, pane: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`at` and `last` of rows in order, and for each the place of the row that comes next (behind all rows: none)."""
+    at, last = (rows.column(c).to_numpy() for c in ("at", "last"))
+    order = np.argsort(at)
+    at, last = at[order], last[order]
+    return at, last, np.searchsorted(at, last + pane, "right")
+
+
+def _blocks_ends(rows: pa.Table, pane: int, width: int, t0: int) -> pa.Table:
+    """For the rows by which a chain can enter this block, the last start that it then has here; of neighbours that are alike in it, the last one."""
+    at, last, follow = _followed(rows, pane)
+    n = len(at)
+    end = np.where(follow < n, follow, np.arange(n))
+    while (further := end[end] != end).any():  # twice as many steps each time
+        end = np.where(further, end[end], end)
+    begin = t0 + rows.column("block")[0].as_py() * width
+    enters = min(n, int(np.searchsorted(at, begin + pane, "left")) + 1)
+    ends = last[end[:enters]]
+    kept = np.append(ends[1:] != ends[:-1], True)
+    return pa.table({"at": at[:enters][kept], "last": ends[kept]})
+
+
+def _visited(rows: pa.Table, pane: int, after: int) -> pa.Table:
+    """The rows of one block that a chain passes whose next start is the first time after `after`; with each, that time again."""
+    at, last, follow = _followed(rows, pane)
+    places, i = [], int(np.searchsorted(at, after, "right"))
+    while i < len(at):
+        places.append(i)
+        i = int(follow[i])
+    afters = np.append(np.int64(after), last[places[:-1]] + pane)
+    return pa.table({"at": at[places], "last": last[places], "after": afters})
+
+
+def drifting_starts(packets: DataFrame, pane: int, t0: int, t1: int, few: int = FEW) -> DataFrame:
+    """`start` of each pane under the restart rule, for packets from t0 to t1.
+
+    Each start depends on the one before, but only the times within a pane of a block's begin, and the first one after, can be the
+    first start in that block. So the chain is followed from all of these at once, in each block apart, and what is left of a block is
+    where they end there. That is repeated on blocks of blocks until few rows are left, which are followed from t0; then
+    the blocks that the chain passes are followed again from where it enters them. The times of FAN panes come to one task.
     """
-    rows = rows.withColumn("range", F.expr(f"us div {span}L"))
-    order = W.partitionBy("range").orderBy("us", "kind")
-    ranges = W.orderBy("range")
-    if later:
-        near = F.first(value, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
-        own, far = F.min(value), F.first("edge", ignorenulls=True).over(ranges.rowsBetween(1, W.unboundedFollowing))
+    rows = cut(packets.filter("us IS NOT NULL").select(F.col("us").alias("at")).distinct().withColumn("last", F.col("at")))
+    spark, levels, width = packets.sparkSession, [], pane
+    block = lambda w: F.expr(f"(at - {t0}L) div {w}L").alias("block")
+    ends = lambda w: lambda x: _blocks_ends(x, pane, w, t0)
+    while rows.count() > few:
+        width *= FAN
+        rows = rows.select("at", "last", block(width))
+        levels.append((rows, width))
+        if width > t1 - t0:  # one block, which the chain enters with the first time
+            entered = spark.createDataFrame([(0, t0 - 1)], "block long, after long")
+            break
+        rows = cut(rows.groupBy("block").applyInArrow(ends(width), "at long, last long"))
     else:
-        near = F.last(value, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-        own, far = F.max(value), F.last("edge", ignorenulls=True).over(ranges.rowsBetween(W.unboundedPreceding, -1))
-    edges = rows.groupBy("range").agg(own.alias("edge")).select("range", far.alias("far"))
-    return rows.withColumn(value, near).join(edges, "range").withColumn(value, F.coalesce(value, "far")).drop("range", "far")
+        passed = spark.createDataFrame(_visited(rows.toArrow(), pane, t0 - 1))
+        entered = passed.select(block(levels[-1][1]), "after") if levels else None
+    for i, (rows, _) in reversed(list(enumerate(levels))):
+        passed = rows.join(entered, "block").groupBy("block").applyInArrow(lambda x: _visited(x, pane, x.column("after")[0].as_py()), "at long, last long, after long")
+        if i:
+            entered = passed.select(block(levels[i - 1][1]), "after")
+    return passed.select(F.col("last").alias("start"))
 
 
 def drifting_panes(packets: DataFrame, pane: int) -> DataFrame:
     """packets with `pane` under the restart rule: the first packet more than `pane` microseconds after a pane's first packet
     starts the next one, so gaps make no empty panes.
 
-    Each start depends on the one before. The start that would follow is found for all times at once; the chain from the first
-    packet is then followed in steps that double (1, 2, 4, ... panes), so the rounds are the logarithm of the panes.
+    Starts are more than `pane` apart, so a cell of that width, counted from the first packet, has one at most, and a pane's packets
+    lie in its start's cell and the next: a packet finds its pane by its cell. Starts, one row a pane, are numbered in one task.
     """
-    span = 64 * pane
-    times = packets.select("us").distinct()
-    marks = times.select("us", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("origin"), F.col("us").alias("to"))
-    asked = times.select((F.col("us") + pane).alias("us"), F.lit(1).alias("kind"), F.col("us").alias("origin"), F.lit(None).cast("long").alias("to"))
-    step = cut(_carried(marks.unionByName(asked), "to", span, later=True).filter("kind = 1 AND to IS NOT NULL").select("origin", "to"))
-    starts, size = cut(packets.agg(F.min("us").alias("start")).filter("start IS NOT NULL")), -1
-    while (now := starts.count()) != size:
-        size = now
-        reached = starts.join(step, starts["start"] == step["origin"]).select(F.col("to").alias("start"))
-        starts = cut(starts.unionByName(reached).distinct())
-        step = cut(step.withColumnRenamed("to", "middle").join(step.select(F.col("origin").alias("middle"), "to"), "middle").select("origin", "to"))
-    numbered = starts.select(F.col("start").alias("us"), (F.row_number().over(W.orderBy("start")) - 1).cast("long").alias("pane"))
     names = packets.columns
-    blank = [F.lit(None).cast(packets.schema[c].dataType).alias(c) for c in names if c != "us"]
-    rows = packets.select("*", F.lit(None).cast("long").alias("pane"), F.lit(1).alias("kind"))
-    rows = rows.unionByName(numbered.select("us", *blank, "pane", F.lit(0).alias("kind")))
-    return _carried(rows, "pane", span, later=False).filter("kind = 1").select(*names, "pane")
+    timer = clock(packets).first()
+    if timer["t0"] is None:
+        return packets.withColumn("pane", F.lit(0).cast("long")).limit(0)
+    cell = f"(%s - {timer['t0']}L) div {pane}L"
+    order = W.orderBy("start")
+    starts = drifting_starts(packets, pane, timer["t0"], timer["t1"])
+    later = F.lead(F.expr(cell % "start")).over(order)
+    numbered = starts.select("start", F.expr(cell % "start").alias("cell"), (F.row_number().over(order) - 1).cast("long").alias("pane"), later.alias("later"))
+    has = F.when(F.col("later") == F.col("cell") + 1, F.array("cell")).otherwise(F.array("cell", F.col("cell") + 1))
+    cells = cut(numbered.select("start", "pane", F.explode(has).alias("cell")))
+    if cells.count() <= FEW:
+        cells = F.broadcast(cells)
+    joined = packets.withColumn("cell", F.expr(cell % "us")).join(cells, "cell")
+    return joined.select(*names, F.when(F.col("us") >= F.col("start"), F.col("pane")).otherwise(F.col("pane") - 1).alias("pane"))

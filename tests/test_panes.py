@@ -1,13 +1,15 @@
 """Window mechanisms against a model that handles one packet at a time, on hand-made and random traces."""
 
 import random
+import time
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from paneflow.plans import compile as plans
 from paneflow.plans import query as library
-from paneflow.plans.panes import WindowSpec, drifting_panes
+from paneflow.plans.panes import WindowSpec, drifting_panes, drifting_starts
 from paneflow.sources.packets import PACKETS
 
 MS = 1000
@@ -182,6 +184,34 @@ def test_drifting_panes_model(spark):
     assert sorted(map(tuple, found)) == expect
 
 
+def restarts(times, pane):
+    out = []
+    for us in sorted(times):
+        if not out or us > out[-1] + pane:
+            out.append(us)
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 40])
+def test_drifting_starts_by_blocks(spark, few):
+    rng = random.Random(few)
+    for steps, first in (([1, 2, 30], -900), ([101, 102, 5000], 7), ([50], 0), ([1, 99, 100, 101, 90_000], -5)):
+        us, times = first, []
+        for _ in range(400):
+            times.append(us)
+            us += rng.choice(steps)
+        rows = frame(spark, [packet(t, i) for i, t in enumerate(times)])
+        assert sorted(r.start for r in drifting_starts(rows, 100, times[0], times[-1], few).collect()) == restarts(times, 100)
+
+
+def test_drifting_panes_dont_join_all_times(spark):
+    rows = spark.range(100_000).selectExpr("id * 7 + id % 3 AS us", "id AS seq")
+    began = time.monotonic()
+    got = drifting_panes(rows, 1000).groupBy("pane").agg(F.min("us").alias("start")).collect()
+    assert time.monotonic() - began < 30
+    assert [r.start for r in sorted(got)] == restarts([i * 7 + i % 3 for i in range(100_000)], 1000)
+
+
 def test_empty_input_and_unknown_mechanism(spark):
     for m in plans.MECHANISMS:
         assert run(spark, [], DDOS, m) == {}
