@@ -6,7 +6,7 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable
-from functools import cache
+from functools import cache, lru_cache
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -27,7 +27,7 @@ DEPTH = 4
 #: Tokens that a worker gathers before it packs them.
 BLOCK_TOKENS = 1 << 21
 #: Different chunks between spaces, and words, whose ids a worker keeps: twice as many at most.
-CACHED = 250_000
+CACHED = 500_000
 #: Characters of text that a worker encodes at once.
 AT_ONCE = 1 << 19
 
@@ -76,12 +76,17 @@ class Encoder:
     # Fixed value: the tokenizer's pattern of words, over texts in lower case; and the space that divides chunks here.
     _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+| ")
     _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u017e]*")
+    # The model's letters for bytes that are none in print; a space divides words.
+    _BYTES = dict(zip([*range(0x20), *range(0x7F, 0xA1), 0xAD], [*range(0x100, 0x120), *range(0x121, 0x144)]))
 
     def __init__(self, path: str, known: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.tokenizer.model)  # for words as the tokenizer cuts them, in the model's letters
+        self.bare.pre_tokenizer = WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
@@ -93,7 +98,8 @@ class Encoder:
     def _learn_words(self, new: list[str]) -> Iterable[tuple[str, bytes]]:
         for at in range(0, len(new), 512):
             part = new[at : at + 512]
-            raw = self._encode([" ".join(part)])[0]
+            letters = " ".join(part).encode().decode("latin-1").translate(self._BYTES)
+            raw = np.asarray(self.bare.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<u4").tobytes()
             edges = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
             if len(edges) == len(part) and edges[-1] == len(raw):
                 yield from zip(part, (raw[a:b] for a, b in zip([0, *edges], edges)))
@@ -116,10 +122,17 @@ class Encoder:
             yield from zip(other, self._encode(other))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.chunks.look_up([x.replace("\n", " ").split(" ") for x in texts], self._learn_chunks)
+        plain = [x.lower() if x.isascii() and "<|" not in x else x for x in texts]  # the tokenizer does so, and fewer chunks differ
+        found = self.chunks.look_up([x.replace("\n", " ").split(" ") for x in plain], self._learn_chunks)
         return [b"".join(x) for x in found]
 
 
+@lru_cache(maxsize=1)
+def _kept(path: str, known: int) -> Encoder:
+    """The encoder that a worker keeps for its next tasks, which meet the same words."""
+    return Encoder(path, known)
+
+
 def nonnegative_least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """x >= 0 with the least |a x - b|, by active sets (Lawson and Hanson)."""
     n = a.shape[1]
@@ -235,9 +248,9 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
     return out
 
 
-def _pack_partition(path: str, window: int, end: int, block_tokens: int, known: int = CACHED):
+def _pack_partition(path: str, window: int, end: int, block_tokens: int, known: int = CACHED, keep: bool = False):
     def run(batches):
-        encoder = Encoder(path, known)
+        encoder = _kept(path, known) if keep else Encoder(path, known)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
         last = np.asarray([end], "<u4").tobytes()
@@ -271,7 +284,12 @@ def _pack_partition(path: str, window: int, end: int, block_tokens: int, known:
         done, tokens = 0, 0
         for batch in portions(batches, AT_ONCE):
             ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
-            for doc_id, code in zip(ids, encoder.encode([x or "" for x in batch.column("text").to_pylist()])):
+            try:
+                codes = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
+            except BaseException:
+                _kept.cache_clear()  # it may hold chunks without their ids
+                raise
+            for doc_id, code in zip(ids, codes):
                 docs.append((doc_id, code + last))
                 tokens += len(code) // 4 + 1
             if tokens >= block_tokens:
@@ -284,7 +302,7 @@ def _pack_partition(path: str, window: int, end: int, block_tokens: int, known:
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, block_tokens: int = BLOCK_TOKENS, known: int = CACHED) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, block_tokens: int = BLOCK_TOKENS, known: int = CACHED, keep: bool = False) -> DataFrame:
     """Packs docs (doc_id, text) into sequences of at most `window` tokens, and returns a row for each piece.
 
     A document is the tokenizer's ids of its whole text (null: none) and then `end`; pieces lie side by side in it, and
@@ -292,9 +310,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: i
     shuffled; only a partition's last tokens don't fill a window, and go to sequences whose lengths are powers of two.
     Rows that repeat a doc_id, or have none, are documents of their own. sequence_id is unique but has gaps.
     tokenizer: a file of the library tokenizers, which every executor can read. known: chunks and words, each, whose ids a worker
-    keeps; fewer cost time, and results are the same. An empty table gives an empty table.
+    keeps; fewer cost time, and results are the same. keep: a worker keeps its tokenizer and these ids for its next task, which saves
+    time and holds the memory as long as the worker lives. An empty table gives an empty table.
     """
-    return docs.select("doc_id", "text").mapInArrow(tidy(_pack_partition(tokenizer, window, end, block_tokens, known)), _SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(_pack_partition(tokenizer, window, end, block_tokens, known, keep)), _SCHEMA)
 
 
 def tokenizer_path() -> str:
@@ -304,5 +323,5 @@ def tokenizer_path() -> str:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), keep=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -695,3 +695,24 @@ def test_packing_encodes_and_hands_on_a_bounded_part_at_once(monkeypatch):
     whole = packing.Encoder(packing.tokenizer_path()).encode(texts[7:8])[0]
     mine = sorted((s, x) for b in out for d, s, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "ids"))) if d == 7)
     assert b"".join(x for _, x in mine) == whole + np.asarray([packing.END], "<u4").tobytes()
+
+
+def test_a_packing_worker_keeps_its_encoder(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["Ein Wort THE the The\tİstanbul 12<|x|>", "ÀÉ <|endoftext|> THE <|ENDOFTEXT|>", "A\x00B Don't \x1c X", "", "THE\n\nend"]
+    whole = [np.asarray(packing.Encoder(packing.tokenizer_path()).tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    learned, learn = [], packing.Encoder._learn_chunks
+    monkeypatch.setattr(packing.Encoder, "_learn_chunks", lambda self, new: learned.append(len(new)) or learn(self, new))
+    for _ in range(2):
+        out = list(packing._pack_partition(packing.tokenizer_path(), packing.WINDOW, packing.END, packing.BLOCK_TOKENS, 1000, True)(iter([batch])))
+        rows = sorted(r for b in out for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "ids"))))
+        mine = [b"".join(x for d, _, x in rows if d == i) for i in range(len(texts))]
+        assert mine == [x + np.asarray([packing.END], "<u4").tobytes() for x in whole]
+    assert len(learned) == 1
+    monkeypatch.setattr(packing.Encoder, "_learn_chunks", lambda self, new: 1 // 0)
+    broken = pa.record_batch({"doc_id": pa.array([1], pa.int64()), "text": ["neverseen"]})
+    for _ in range(2):  # what was not learned is not taken for known
+        with pytest.raises(ZeroDivisionError):
+            list(packing._pack_partition(packing.tokenizer_path(), packing.WINDOW, packing.END, packing.BLOCK_TOKENS, 1000, True)(iter([broken])))
